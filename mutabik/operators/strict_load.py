@@ -136,7 +136,7 @@ def load_and_reject(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     tables. Texts of any length are handled; the checks split on the quote, they don't backtrack.
     """
     good = strict_load(raw)
-    loaded = good.select(*_offset()[:2], F.col("_h")).distinct()
+    loaded = good.select(*_offset()[:2], F.col("_h"))
     mine = raw.select("line_id", "source", "batch_id", "row_no", "raw_text").withColumn("_rh", F.xxhash64("raw_text"))
     rest = mine.join(
         loaded,
