@@ -163,7 +163,8 @@ def nearest_in_time(spark: SparkSession, left: tuple[str, Any], right: tuple[str
     def stream(side: tuple[str, Any]) -> DataFrame:
         scan = spark.read.parquet(side[0])
         per = max(1, math.ceil(len(scan.inputFiles()) / batches))
-        return side[1](spark.readStream.schema(scan.schema).option("maxFilesPerTrigger", per).parquet(side[0]))
+        glob = f"{side[0][:-1]}[{side[0][-1]}]"  # a stream reads a single file only by a pattern
+        return side[1](spark.readStream.schema(scan.schema).option("maxFilesPerTrigger", per).parquet(glob))
 
     ends = spark.range(lanes).select(F.col("id").cast("int").alias("lane"))
     ends.limit(0).write.parquet(f"{base}/end")

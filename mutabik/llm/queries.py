@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mutabik.functions.scalars import is_blank
 from mutabik.llm.history_dedup import HistoryRuns
 from mutabik.llm.nearest_time import nearest_in_time
+from mutabik.llm.sentences import sentence_starts, sentence_units
 from mutabik.shared import shared_path
 
 
@@ -47,7 +48,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(asked, "left_id", "left_semi").select(F.col("right_id").alias("psp_id"), F.col("left_id").alias("bank_id")).distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the sentence units of all reviews begin."""
+    return sentence_starts(table(spark, sf_dir, "documents")).distinct()
+
+
+def p9_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence units of all reviews."""
+    return sentence_units(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p9_found": p9_found, "p9_units": p9_units}
 ORACLES: dict[str, str] = {
     "p5_found": """
 SELECT psp_id, bank_id FROM (
