@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from mutabik.functions.scalars import is_blank
 from mutabik.llm.history_dedup import HistoryRuns
+from mutabik.llm.mixing import mix_sources
 from mutabik.llm.nearest_time import nearest_in_time
+from mutabik.llm.packing import container_fill, pack_items
 from mutabik.llm.sentences import sentence_starts, sentence_units
-from mutabik.shared import shared_path
+from mutabik.llm.tokens import token_sizes
+from mutabik.shared import shared_path, shared_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +51,42 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(asked, "left_id", "left_semi").select(F.col("right_id").alias("psp_id"), F.col("left_id").alias("bank_id")).distinct()
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    packs = table(spark, sf_dir, "pack_size")
+    sizes = shared_table(token_sizes(table(spark, sf_dir, "documents"), ["doc_id"]), "sizes")
+    return pack_items(sizes, packs), packs
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every review or piece, for each pack size."""
+    return _packed(spark, sf_dir)[0]
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fill of every container."""
+    return container_fill(*_packed(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str, budget_share: float | None) -> tuple[DataFrame, DataFrame]:
+    sizes = token_sizes(table(spark, sf_dir, "documents"), ["doc_id", "source"])
+    return mix_sources(sizes, table(spark, sf_dir, "mix_target"), budget_share)
+
+
+def p8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen reviews of each mix with their repeats; the targets are met."""
+    return _mixed(spark, sf_dir, None)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached shares of each mix at the largest budget that meets the targets."""
+    return _mixed(spark, sf_dir, None)[1]
+
+
+def p8_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached when each mix must have as many tokens as all reviews together."""
+    return _mixed(spark, sf_dir, 1.0)[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the sentence units of all reviews begin."""
     return sentence_starts(table(spark, sf_dir, "documents")).distinct()
@@ -58,7 +97,7 @@ def p9_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p9_found": p9_found, "p9_units": p9_units}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_tempered": p8_tempered, "p9_found": p9_found, "p9_units": p9_units}
 ORACLES: dict[str, str] = {
     "p5_found": """
 SELECT psp_id, bank_id FROM (
