@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mutabik.functions.scalars import is_blank
 from mutabik.llm.history_dedup import HistoryRuns
+from mutabik.llm.linkage import link
 from mutabik.llm.mixing import mix_sources
 from mutabik.llm.nearest_time import nearest_in_time
 from mutabik.llm.packing import container_fill, pack_items
@@ -51,6 +52,26 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(asked, "left_id", "left_semi").select(F.col("right_id").alias("psp_id"), F.col("left_id").alias("bank_id")).distinct()
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bank, psp, seller = (table(spark, sf_dir, t) for t in ("bank", "psp", "seller"))
+    known = seller.select("counterparty").distinct()
+    free = bank.where(~is_blank(F.col("counterparty"))).join(known, "counterparty", "left_anti")
+    payments = free.select(F.col("bank_id").alias("payment_id"), F.col("counterparty").alias("name"), F.col("stmt_ref").alias("ref_text"), F.col("amount_kurus").alias("amount"), F.col("value_date").alias("at"))
+    sales = psp.where("direction = 'credit'").select(F.col("psp_id").alias("sale_id"), F.col("counterparty").alias("entity"), "ref", F.col("amount_kurus").alias("amount"), F.col("occurred_at").alias("at"))
+    settled = bank.where("direction = 'credit'").select(F.col("counterparty").alias("entity"), F.col("stmt_ref").alias("ref"))
+    return link(payments, sales, seller.select(F.col("counterparty").alias("entity"), F.col("trade_name").alias("seller_name")), settled)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bank lines under a written name with the sale that each pays."""
+    return _linked(spark, sf_dir).select(F.col("sale_id").alias("psp_id"), F.col("payment_id").alias("bank_id"))
+
+
+def p6_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with their confidence."""
+    return _linked(spark, sf_dir).select(F.col("sale_id").alias("psp_id"), F.col("payment_id").alias("bank_id"), F.round("confidence", 4).alias("confidence"))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     packs = table(spark, sf_dir, "pack_size")
     sizes = shared_table(token_sizes(table(spark, sf_dir, "documents"), ["doc_id"]), "sizes")
@@ -97,7 +118,7 @@ def p9_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_tempered": p8_tempered, "p9_found": p9_found, "p9_units": p9_units}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_confidence": p6_confidence, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_tempered": p8_tempered, "p9_found": p9_found, "p9_units": p9_units}
 ORACLES: dict[str, str] = {
     "p5_found": """
 SELECT psp_id, bank_id FROM (
