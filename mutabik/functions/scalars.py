@@ -66,7 +66,7 @@ def tolerant_limit(amount: Column) -> Column:
 
 
 def micros(at: Column) -> Column:
-    return F.unix_micros(at)
+    return F.unix_micros(at.cast("timestamp"))
 
 
 def whole_days(us_a: Column, us_b: Column) -> Column:

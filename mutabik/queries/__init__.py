@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from mutabik.queries import quality
+from mutabik.queries import quality, recon
 
 
 def all_queries() -> dict:
-    return dict(quality.QUERIES)
+    return {**recon.QUERIES, **quality.QUERIES}
 
 
 def all_oracles() -> dict:
-    return dict(quality.ORACLES)
+    return {**recon.ORACLES, **quality.ORACLES}
