@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -49,3 +50,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Rows up to which a narrow side (a key or two) may be broadcast: some tens of MB.
+SMALL_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, rows: int | None = None, most: int = SMALL_ROWS) -> DataFrame:
+    """Marks ``df`` for broadcast if it has at most ``most`` rows (``rows``: its count or a bound, if known); else it joins by shuffle."""
+    n = df.count() if rows is None else rows
+    return F.broadcast(df) if n <= most else df
