@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mutabik.functions.scalars import is_blank, micros, norm_ref
-from mutabik.shared import shared_table
+from mutabik.shared import if_small, shared_table
 
 # Letters of written names and the plain letters they are written with.
 LETTERS = ("İIıŞşĞğÜüÖöÇçÂâÎîÛûÉé", "IIISSGGUUOOCCAAIIUUEE")
@@ -43,46 +43,42 @@ def words(name: Column) -> Column:
 def slips(word: Column) -> Column:
     """The word itself and the word without one of its letters: words one slip apart share one."""
     cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.substring(word, 1, 0), word.substr(F.lit(1), i - 1), word.substr(i + 1, F.length(word))))
-    return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) >= 4, cut).otherwise(F.array(word))))
+    return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) >= 3, cut).otherwise(F.array(word))))
 
 
 def name_links(names: DataFrame, sellers: DataFrame) -> DataFrame:
-    """name, entity, sim: sellers that a written name may mean.
+    """name_id, entity, sim: sellers that a written name may mean.
 
-    names: name (distinct). sellers: entity, seller_name.
+    names: name_id, name (distinct). sellers: entity, seller_name.
+    A seller is blocked on its rarest word, a name on all of its words. Words are matched with words
+    first, so that rows multiply only where a name and a seller really share a rare word.
     """
     s = sellers.where("entity is not null and seller_name is not null").select("entity", words(F.col("seller_name")).alias("sw")).where(F.size("sw") > 0)
-    n = names.select("name", words(F.col("name")).alias("nw")).where(F.size("nw") > 0)
-    sw = s.select("entity", F.explode("sw").alias("w"))
-    df = sw.groupBy("w").agg(F.count("*").alias("df"))
-    total = s.agg(F.count("*").alias("n_all"))  # one row
-    weighed = sw.join(df, "w").crossJoin(F.broadcast(total)).withColumn("idf", F.log((F.col("n_all") + 1.0) / F.col("df")))
-    per = weighed.groupBy("entity").agg(F.collect_list(F.struct("w", "idf")).alias("sv"), F.max("idf").alias("top"))  # words of one name
-    rare = per.select("entity", "sv", F.explode("sv").alias("v"), "top").where("v.idf >= top - 1e-9").select("entity", "sv", F.col("v.w").alias("w"))
-    blocks = rare.select("entity", "sv", F.explode(slips(F.col("w"))).alias("k"))
-    nword = n.select("name", F.explode("nw").alias("w"))
-    ndf = nword.groupBy("w").agg(F.count("*").alias("df"))
-    ntotal = n.agg(F.count("*").alias("n_all"))
-    nv = nword.join(ndf, "w").crossJoin(F.broadcast(ntotal)).withColumn("idf", F.log((F.col("n_all") + 1.0) / F.col("df"))).groupBy("name").agg(F.collect_list(F.struct("w", "idf")).alias("nv"))
-    keyed = nv.select("name", "nv", F.explode(F.array_distinct(F.flatten(F.transform("nv", lambda v: slips(v["w"]))))).alias("k"))
-    pairs = keyed.join(blocks, "k").dropDuplicates(["name", "entity"])
-
-    def like(a: Column, b: Column) -> Column:
-        near = (F.length(a) >= 4) & (F.length(b) >= 4) & (F.levenshtein(a, b) <= 2) & (F.abs(F.length(a) - F.length(b)) <= 1)
-        begins = (F.length(a) >= 1) & b.startswith(a)
-        return F.when(a == b, 1.0).when(near, 0.8).when(begins, 0.7).otherwise(0.0)
-
-    best = lambda v, others: F.array_max(F.transform(others, lambda o: like(v["w"], o["w"])))
-    has = lambda v, others: F.array_max(F.transform(others, lambda o: F.when(like(o["w"], v["w"]) > 0, like(o["w"], v["w"])).otherwise(0.0)))
-    add = lambda acc, x: acc + x
-    zero = F.lit(0.0)
-    got = F.aggregate(F.transform("nv", lambda v: v["idf"] * best(v, F.col("sv"))), zero, add)
-    of = F.aggregate(F.transform("nv", lambda v: v["idf"] + 0.0), zero, add)
-    back = F.aggregate(F.transform("sv", lambda v: v["idf"] * has(v, F.col("nv"))), zero, add)
-    own = F.aggregate(F.transform("sv", lambda v: v["idf"] + 0.0), zero, add)
-    scored = pairs.select("name", "entity", (F.lit(0.5) * got / F.greatest(of, F.lit(1e-9)) + F.lit(0.5) * back / F.greatest(own, F.lit(1e-9))).alias("sim"))
-    top = scored.groupBy("name").agg(F.max("sim").alias("best"))
-    return scored.join(top, "name").where("sim >= 0.85 * best and sim >= 0.35").select("name", "entity", "sim")
+    n = names.select("name_id", words(F.col("name")).alias("nw")).where(F.size("nw") > 0)
+    each = s.select("entity", F.explode("sw").alias("w"))
+    df = each.groupBy("w").agg(F.count("*").alias("df"))
+    rare = each.join(df, "w").groupBy("entity").agg(F.min(F.struct("df", "w")).alias("r")).select("entity", F.col("r.w").alias("sw1"), F.col("r.df").alias("df"))
+    s_words = rare.groupBy("sw1").agg(F.max("df").alias("df"))
+    # A word written just as one that is no seller's rarest (a trade, a legal form) isn't a slip of another.
+    common = df.select(F.col("w").alias("nw1")).join(s_words.select(F.col("sw1").alias("nw1")), "nw1", "left_anti")
+    n_words = n.select(F.explode("nw").alias("nw1")).distinct().join(common, "nw1", "left_anti")
+    by_slip = n_words.select("nw1", F.explode(slips(F.col("nw1"))).alias("k")).join(s_words.select("sw1", "df", F.explode(slips(F.col("sw1"))).alias("k")), "k").select("nw1", "sw1", "df").distinct()
+    alike = by_slip.withColumn("like", _like(F.col("nw1"), F.col("sw1"))).where("like > 0")
+    blocks = rare.select("entity", "sw1").join(s, "entity").select("sw1", "entity", "sw")
+    met = n.select("name_id", "nw", F.explode("nw").alias("nw1")).join(alike, "nw1").join(blocks, "sw1")
+    rest_n = F.filter("nw", lambda w: w != F.col("nw1"))
+    rest_s = F.filter("sw", lambda w: w != F.col("sw1"))
+    hits = F.size(F.filter(rest_n, lambda w: F.exists(rest_s, lambda v: _like(w, v) > 0)))
+    sim = 0.6 * F.col("like") + F.when(F.size(rest_n) > 0, 0.4 * hits / F.size(rest_n)).otherwise(0.2)
+    scored = met.select("name_id", "entity", (sim / (1.0 + 0.02 * F.log(F.col("df").cast("double")))).alias("sim")).groupBy("name_id", "entity").agg(F.max("sim").alias("sim"))
+    top = scored.groupBy("name_id").agg(F.max("sim").alias("best"))
+    return scored.join(top, "name_id").where("sim >= 0.85 * best and sim >= 0.4").select("name_id", "entity", "sim")
+
+
+def _like(a: Column, b: Column) -> Column:
+    """1 for equal words, 0.8 one slip apart, 0.7 if the first is cut short, else 0."""
+    near = (F.length(a) >= 3) & (F.abs(F.length(a) - F.length(b)) <= 1) & (F.levenshtein(a, b) <= F.when(F.length(a) >= 4, 2).otherwise(1))
+    return F.when(a == b, 1.0).when(b.startswith(a), 0.7).when(near, 0.8).otherwise(0.0)
 
 
 def with_scrap(payments: DataFrame) -> DataFrame:
@@ -121,9 +117,9 @@ def link(payments: DataFrame, sales: DataFrame, sellers: DataFrame, settled: Dat
     """
     cell = float(-_ln(1 - shortfall))
     pay = payments.where("payment_id is not null and amount > 0 and at is not null").where(~is_blank(F.col("name")))
-    pay = shared_table(with_scrap(pay.select("payment_id", "name", "ref_text", F.col("amount").cast("bigint").alias("amount"), micros(F.col("at")).alias("us")).dropDuplicates(["payment_id"])), "payments")
-    links = shared_table(name_links(pay.select("name").distinct(), sellers), "name-links")
-    named = pay.join(links, "name")
+    pay = shared_table(with_scrap(pay.select("payment_id", F.xxhash64("name").alias("name_id"), "name", "ref_text", F.col("amount").cast("bigint").alias("amount"), micros(F.col("at")).alias("us")).dropDuplicates(["payment_id"])), "payments")
+    links = shared_table(name_links(pay.select("name_id", "name").dropDuplicates(["name_id"]), sellers), "name-links")
+    named = pay.select("payment_id", "name_id", "scrap", "amount", "us").join(links, "name_id")
     a_cell = lambda c: F.floor(F.log(c.cast("double")) / cell).cast("int")
     d_cell = lambda c: F.floor(c / F.lit(days * DAY_US)).cast("int")
     amount = F.col("amount")
@@ -139,16 +135,17 @@ def link(payments: DataFrame, sales: DataFrame, sellers: DataFrame, settled: Dat
     has_scrap = F.col("scrap") != ""
     exact = amount == F.col("due")
     whole = has_scrap & F.col("ref").contains(F.col("scrap"))
-    slip = has_scrap & ~whole & F.exists(swapped(F.col("scrap")), lambda v: F.col("ref").contains(v))
+    end3 = F.col("ref").contains(F.substring("scrap", 1, 3)) | F.col("ref").contains(F.right("scrap", F.lit(3)))
+    slip = has_scrap & ~whole & end3 & F.exists(swapped(F.col("scrap")), lambda v: F.col("ref").contains(v))
     fits = j.where(inside).where(F.when(has_scrap, whole | slip).otherwise(exact))
     shared = F.when(whole, 1.2 * F.length("scrap")).when(slip, 0.9 * F.length("scrap") - 1.0).otherwise(4.0)
     cand = fits.select(
-        "payment_id", "sale_id", "name", "entity", "ref",
+        "payment_id", "sale_id", "name_id", "entity", "ref",
         (4.0 * F.col("sim") + shared + F.when(exact, 2.0).otherwise(0.0) - 0.1 * (F.col("us") - F.col("sold")) / DAY_US).alias("w"),
     )
-    cand = shared_table(cand.groupBy("payment_id", "sale_id", "name", "entity", "ref").agg(F.max("w").alias("w")), "edges")
-    paid = settled.where(~is_blank(F.col("ref"))).select("entity", norm_ref(F.col("ref")).alias("ref")).join(cand.select("entity", "ref").distinct(), ["entity", "ref"], "left_semi").distinct().withColumn("paid", F.lit(True))
-    edges = shared_table(cand.join(paid, ["entity", "ref"], "left").select("payment_id", "sale_id", "name", "entity", (F.col("w") - F.when(F.col("paid"), 8.0).otherwise(0.0)).alias("w")), "weighted-edges")
+    cand = shared_table(cand.groupBy("payment_id", "sale_id", "name_id", "entity", "ref").agg(F.max("w").alias("w")), "edges")
+    paid = settled.where(~is_blank(F.col("ref"))).select("entity", norm_ref(F.col("ref")).alias("ref")).join(if_small(cand.select("entity", "ref").distinct(), cand.count()), ["entity", "ref"], "left_semi").distinct().withColumn("paid", F.lit(True))
+    edges = shared_table(cand.join(paid, ["entity", "ref"], "left").select("payment_id", "sale_id", "name_id", "entity", (F.col("w") - F.when(F.col("paid"), 8.0).otherwise(0.0)).alias("w")), "weighted-edges")
     return _decide(_refine(edges))
 
 
@@ -162,7 +159,7 @@ def _shares(edges: DataFrame, belief: DataFrame | None) -> DataFrame:
     """p: an edge's part of the belief at the payment, q: at the sale; a standing alternative is 'none'."""
     e = edges
     if belief is not None:
-        e = e.join(belief, ["name", "entity"], "left").withColumn("w", F.col("w") + 1.5 * F.log(F.coalesce("link", F.lit(0.0)) + 0.05))
+        e = e.join(belief, ["name_id", "entity"], "left").withColumn("w", F.col("w") + 1.5 * F.log(F.coalesce("link", F.lit(0.0)) + 0.05))
     e = e.withColumn("x", F.exp(F.least(F.col("w"), F.lit(40.0))))
     by_p = e.groupBy("payment_id").agg(F.sum("x").alias("xp"))
     by_s = e.groupBy("sale_id").agg(F.sum("x").alias("xs"))
@@ -179,11 +176,11 @@ def _refine(edges: DataFrame) -> DataFrame:
     belief = None
     for _ in range(ROUNDS):
         e = _shares(edges, belief)
-        support = e.groupBy("name", "entity").agg(F.sum(F.col("p") * F.col("q")).alias("s"))
-        total = support.groupBy("name").agg(F.sum("s").alias("all"))
-        now = shared_table(support.join(total, "name").select("name", "entity", (F.col("s") / (F.col("all") + 0.25)).alias("link")), "beliefs")
+        support = e.groupBy("name_id", "entity").agg(F.sum(F.col("p") * F.col("q")).alias("s"))
+        total = support.groupBy("name_id").agg(F.sum("s").alias("all"))
+        now = shared_table(support.join(total, "name_id").select("name_id", "entity", (F.col("s") / (F.col("all") + 0.25)).alias("link")), "beliefs")
         if belief is not None:
-            moved = now.join(belief.withColumnRenamed("link", "was"), ["name", "entity"], "left").agg(F.max(F.abs(F.col("link") - F.coalesce("was", F.lit(0.0))))).first()[0]
+            moved = now.join(belief.withColumnRenamed("link", "was"), ["name_id", "entity"], "left").agg(F.max(F.abs(F.col("link") - F.coalesce("was", F.lit(0.0))))).first()[0]
             if moved is None or moved < STABLE:
                 return _shares(edges, now)
         belief = now

@@ -13,7 +13,7 @@ from mutabik.llm.nearest_time import nearest_in_time
 from mutabik.llm.packing import container_fill, pack_items
 from mutabik.llm.sentences import sentence_starts, sentence_units
 from mutabik.llm.tokens import token_sizes
-from mutabik.shared import shared_path, shared_table
+from mutabik.shared import if_small, shared_path, shared_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank, psp, seller = (table(spark, sf_dir, t) for t in ("bank", "psp", "seller"))
-    known = seller.select("counterparty").distinct()
+    known = if_small(seller.select("counterparty").where("counterparty is not null").distinct())
     free = bank.where(~is_blank(F.col("counterparty"))).join(known, "counterparty", "left_anti")
     payments = free.select(F.col("bank_id").alias("payment_id"), F.col("counterparty").alias("name"), F.col("stmt_ref").alias("ref_text"), F.col("amount_kurus").alias("amount"), F.col("value_date").alias("at"))
     sales = psp.where("direction = 'credit'").select(F.col("psp_id").alias("sale_id"), F.col("counterparty").alias("entity"), "ref", F.col("amount_kurus").alias("amount"), F.col("occurred_at").alias("at"))
