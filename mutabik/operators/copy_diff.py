@@ -17,7 +17,7 @@ BUCKET_WIDTH = 16
 
 
 def _bucket(key: Column, width: int) -> Column:
-    return F.floor(F.coalesce(key, F.lit(-1)) / F.lit(width)).cast("bigint")
+    return F.floor(key / F.lit(width)).cast("bigint")
 
 
 def _halves(h: Column) -> list[Column]:
@@ -56,6 +56,8 @@ def copy_differences(left: DataFrame, right: DataFrame, key: str, columns: list[
     paired: such rows come out as present on their side only. Empty tables are allowed.
     """
     only = only or {}
+    loose = [df.where(F.col(key).isNull()).select(carry, key, F.lit(n).alias("field")) for df, n in ((left, names[0]), (right, names[1]))]
+    left, right = left.where(F.col(key).isNotNull()), right.where(F.col(key).isNotNull())
     matrix = shared_table(checksum_matrix(left, right, key, columns, width).where(" or ".join(f"`d_{c}`" for c in ["", *columns])), "copy-matrix")
     summary = matrix.agg(F.count("*").alias("n"), *[F.max(f"d_{c}").alias(c) for c in columns]).first()
     unequal = [c for c in columns if summary[c]]  # one row of flags, however large the tables
@@ -68,13 +70,12 @@ def copy_differences(left: DataFrame, right: DataFrame, key: str, columns: list[
 
     a, b = read(left, "l"), read(right, "r")
     j = a.join(b, F.col("_lk") == F.col("_rk"), "full_outer")
-    on_left, on_right = F.col("_lc").isNotNull() | F.col("_lk").isNotNull(), F.col("_rc").isNotNull() | F.col("_rk").isNotNull()
     both = F.col("_lk").isNotNull() & F.col("_rk").isNotNull()
-    fields = [F.when(on_left & ~both, F.lit(names[0])), F.when(on_right & ~both, F.lit(names[1]))]
+    fields = [F.when(F.col("_rk").isNull(), F.lit(names[0])), F.when(F.col("_lk").isNull(), F.lit(names[1]))]
     for c in unequal:
         differs = both & ~F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}"))
         if c in only:
             differs = differs & F.col("_lc").isin(*only[c])
         fields.append(F.when(differs, F.lit(c)))
     out = j.select(F.coalesce("_lc", "_rc").alias(carry), F.coalesce("_lk", "_rk").alias(key), F.explode(F.array_compact(F.array(*fields))).alias("field"))
-    return out.distinct()
+    return out.unionByName(loose[0]).unionByName(loose[1]).distinct()
