@@ -57,7 +57,8 @@ def name_links(names: DataFrame, sellers: DataFrame) -> DataFrame:
     n = names.select("name_id", words(F.col("name")).alias("nw")).where(F.size("nw") > 0)
     each = s.select("entity", F.explode("sw").alias("w"))
     df = each.groupBy("w").agg(F.count("*").alias("df"))
-    rare = each.join(df, "w").groupBy("entity").agg(F.min(F.struct("df", "w")).alias("r")).select("entity", F.col("r.w").alias("sw1"), F.col("r.df").alias("df"))
+    counted = each.join(df, "w").groupBy("entity").agg(F.min("df").alias("df"), F.collect_list(F.struct("w", "df")).alias("ws"))  # words of one name
+    rare = counted.select("entity", "df", F.explode(F.filter("ws", lambda x: x["df"] == F.col("df"))).alias("x")).select("entity", F.col("x.w").alias("sw1"), "df")
     s_words = rare.groupBy("sw1").agg(F.max("df").alias("df"))
     # A word written just as one that is no seller's rarest (a trade, a legal form) isn't a slip of another.
     common = df.select(F.col("w").alias("nw1")).join(s_words.select(F.col("sw1").alias("nw1")), "nw1", "left_anti")
@@ -145,7 +146,7 @@ def link(payments: DataFrame, sales: DataFrame, sellers: DataFrame, settled: Dat
     )
     cand = shared_table(cand.groupBy("payment_id", "sale_id", "name_id", "entity", "ref").agg(F.max("w").alias("w")), "edges")
     paid = settled.where(~is_blank(F.col("ref"))).select("entity", norm_ref(F.col("ref")).alias("ref")).join(if_small(cand.select("entity", "ref").distinct(), cand.count()), ["entity", "ref"], "left_semi").distinct().withColumn("paid", F.lit(True))
-    edges = shared_table(cand.join(paid, ["entity", "ref"], "left").select("payment_id", "sale_id", "name_id", "entity", (F.col("w") - F.when(F.col("paid"), 8.0).otherwise(0.0)).alias("w")), "weighted-edges")
+    edges = shared_table(cand.join(paid, ["entity", "ref"], "left").select("payment_id", "sale_id", "name_id", "entity", (F.col("w") - F.when(F.col("paid"), 20.0).otherwise(0.0)).alias("w")), "weighted-edges")
     return _decide(_refine(edges))
 
 

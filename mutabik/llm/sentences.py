@@ -169,6 +169,8 @@ def clear_label(g: Gap, starters: Counter | None = None) -> bool:
         return True
     if g.sp in ("n", "b") and g.nx != "l":
         return True
+    if g.nx in "—–" and g.sp not in ("n", "b"):
+        return False
     if g.quoted and g.tail:
         if not g.opens:
             return g.nx == "U" or (g.low and g.nx == "l" and starts and g.script == "cased") if g.tok and g.sp and g.script == "cased" and not g.tail == "." else g.nx == "U" and g.sp != ""
