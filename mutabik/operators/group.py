@@ -40,16 +40,13 @@ def two_subsets(amounts: list[int], target: int) -> list[list[int]]:
     left, right = sums(amounts[:h]), sums(amounts[h:])
     order = np.argsort(right, kind="stable")
     ordered = right[order]
+    need = target - left
+    lo, hi = np.searchsorted(ordered, need, "left"), np.searchsorted(ordered, need, "right")
     found: list[int] = []
-    for m in range(len(left) - 1, -1, -1):
-        need = target - left[m]
-        if need < 0:
-            continue
-        lo, hi = np.searchsorted(ordered, need, "left"), np.searchsorted(ordered, need, "right")
-        if hi > lo:
-            found += [(m << (n - h)) | int(x) for x in sorted(order[lo:hi], reverse=True)[: 2 - len(found)]]
-            if len(found) >= 2:
-                break
+    for m in np.flatnonzero(hi > lo)[::-1]:
+        found += [(int(m) << (n - h)) | int(x) for x in sorted(order[lo[m] : hi[m]], reverse=True)[: 2 - len(found)]]
+        if len(found) >= 2:
+            break
     return [[i for i in range(n) if f >> (n - 1 - i) & 1] for f in found]
 
 
@@ -84,12 +81,14 @@ def walk(orders: list[tuple[int, int, int]], payouts: list[tuple[int, int, int]]
     return out
 
 
-def _kernel(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["us", "ref", "amount", "direction", "gross0", "tx_id"], kind="stable")
-    o = rows[rows["side"] == 0].drop_duplicates("tx_id")
-    p = rows[rows["side"] == 1]
-    done = walk(list(zip(o["tx_id"].tolist(), o["us"].tolist(), o["amount"].tolist())), list(zip(p["tx_id"].tolist(), p["us"].tolist(), p["gross0"].tolist())))
-    return pd.DataFrame(done, columns=["what", "payout_id", "order_id"]).astype({"payout_id": "int64", "order_id": "int64"})
+def _kernel(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in parts:
+        done: list[tuple[str, int, int]] = []
+        for orders, payouts in zip(p["orders"], p["payouts"]):
+            o = sorted((r["us"], r["ref"], r["amount"], r["tx_id"]) for r in orders)
+            q = sorted((r["us"], r["ref"], r["amount"], r["gross0"], r["tx_id"]) for r in payouts)
+            done += walk([(i, us, a) for us, _, a, i in o], [(i, us, g) for us, _, _, g, i in q])
+        yield pd.DataFrame(done, columns=["what", "payout_id", "order_id"]).astype({"payout_id": "int64", "order_id": "int64"})
 
 
 def group_outcomes(pool: DataFrame) -> DataFrame:
@@ -115,5 +114,7 @@ def group_outcomes(pool: DataFrame) -> DataFrame:
     cell = lambda c: F.floor(c / F.lit(WINDOW)).cast("int")
     reach = spans.withColumn("c", F.explode(F.sequence(cell(F.col("lo") - WINDOW), cell(F.col("hi")))))
     near = orders.withColumn("c", cell(F.col("us"))).join(reach, ["cp", "c"]).where((F.col("us") >= F.col("lo") - WINDOW) & (F.col("us") <= F.col("hi"))).select(*cols, "run")
-    found = mine.unionByName(near).groupBy("cp", "run").applyInPandas(_kernel, "what string, payout_id bigint, order_id bigint")
+    one = F.struct("us", "ref", "amount", "gross0", "tx_id")
+    both = mine.unionByName(near).groupBy("cp", "run").agg(*[F.collect_set(F.when(F.col("side") == v, one)).alias(n) for v, n in ((0, "orders"), (1, "payouts"))])  # bounded, see above
+    found = both.select("orders", "payouts").mapInPandas(_kernel, "what string, payout_id bigint, order_id bigint")
     return over.unionByName(found)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,10 +24,36 @@ def local_session(cpus: int | None = None, app: str = "mutabik") -> SparkSession
     b = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for k, v in SQL_CONF.items():
         b = b.config(k, v)
-    return (
+    spark = (
         b.config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", os.environ.get("MUTABIK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the package importable for Python workers, once per application, through the shared folder."""
+    from mutabik.shared import shared_path
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_path(spark, 'package')}.zip")
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(buffer.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path.toString())
+    _shipped.add(app)
