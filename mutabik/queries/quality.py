@@ -26,8 +26,9 @@ def p1_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid records, typed."""
-    return load_and_reject(table(spark, sf_dir, "raw_line"))[0]
+    """Valid records, typed; the day without its midnight."""
+    good = load_and_reject(table(spark, sf_dir, "raw_line"))[0]
+    return good.withColumn("occurred_on", F.to_date("occurred_at")).drop("occurred_at")
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,29 +137,30 @@ UNION SELECT source, tx_id, 'gross' FROM j WHERE source = 'marketplace' AND gros
 UNION SELECT source, tx_id, 'commission' FROM j WHERE source = 'marketplace' AND commission IS DISTINCT FROM tco
 """
 _FIELD = '("([^"]|"")*"|[^",\\n\\r]*)'
-_RECORD = f"^{_FIELD}(,{_FIELD}){{5}}$"
-_GET = f"{_FIELD}"
+_AMOUNT = "(regexp_full_match(trim({0}), '[+-]?[0-9]+') AND coalesce(try_cast(trim({0}) AS HUGEINT) BETWEEN 0 AND 9223372036854775807, false))"
+_BIG = "CAST(try_cast(trim({}) AS HUGEINT) AS BIGINT)"
 
 
 def _field(i: int) -> str:
     skip = f"({_FIELD},){{{i}}}" if i else ""
-    group = 1 + (3 if i else 0)
-    raw = f"regexp_extract(raw_text, '^{skip}{_FIELD}(,|$)', {group})"
+    raw = f"regexp_extract(raw_text, '^{skip}{_FIELD}(,|$)', {4 if i else 1})"
     return f"CASE WHEN {raw} LIKE '\"%' THEN replace({raw}[2:-2], '\"\"', '\"') ELSE {raw} END"
 
 
-_AMOUNT = "(regexp_full_match(trim({0}), '[+-]?[0-9]+') AND coalesce(try_cast(trim({0}) AS HUGEINT) BETWEEN 0 AND 9223372036854775807, false))"
-_VALID = f"""
-SELECT line_id FROM (
-  SELECT *, CASE WHEN source = 'marketplace' THEN f5 ELSE f4 END d FROM (
-    SELECT line_id, source, regexp_matches(raw_text, '{_RECORD}') ok, {', '.join(f'{_field(i)} f{i}' for i in range(6))} FROM raw_line))
-WHERE NOT coalesce(ok AND {_AMOUNT.format('f2')} AND regexp_full_match(trim(d), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(trim(d) AS DATE) IS NOT NULL
-  AND CASE WHEN source = 'marketplace' THEN {_AMOUNT.format('f3')} AND {_AMOUNT.format('f4')} AND try_cast(trim(f2) AS HUGEINT) - try_cast(trim(f3) AS HUGEINT) = try_cast(trim(f4) AS HUGEINT)
-      ELSE f3 = 'TRY' AND f5 IN ('credit', 'debit') END, false)
+_PARSED = f"""
+WITH r AS (SELECT *, regexp_matches(raw_text, '^{_FIELD}(,{_FIELD})*$') sound, regexp_matches(raw_text, '^{_FIELD}(,{_FIELD}){{5}}$') six, source = 'marketplace' mk, {', '.join(f'{_field(i)} f{i}' for i in range(6))} FROM raw_line),
+c AS (SELECT *, CASE WHEN mk THEN f5 ELSE f4 END d FROM r),
+j AS (SELECT *, CASE WHEN coalesce(source NOT IN ('psp', 'bank', 'marketplace'), true) THEN 'unknown source' WHEN raw_text IS NULL THEN 'no text' WHEN NOT sound THEN 'broken quoting' WHEN NOT six THEN 'wrong column count'
+  WHEN NOT {_AMOUNT.format('f2')} OR (mk AND NOT ({_AMOUNT.format('f3')} AND {_AMOUNT.format('f4')})) THEN 'invalid amount' WHEN NOT mk AND f3 <> 'TRY' THEN 'invalid currency'
+  WHEN NOT (regexp_full_match(trim(d), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(trim(d) AS DATE) IS NOT NULL) THEN 'invalid date' WHEN NOT mk AND f5 NOT IN ('credit', 'debit') THEN 'invalid direction'
+  WHEN mk AND try_cast(trim(f2) AS HUGEINT) - try_cast(trim(f3) AS HUGEINT) <> try_cast(trim(f4) AS HUGEINT) THEN 'broken breakdown' END reason FROM c)
 """
 
 ORACLES = {
-    "p1_found": _VALID,
+    "p1_found": _PARSED + "SELECT DISTINCT line_id FROM j WHERE reason IS NOT NULL",
+    "p1_rejects": _PARSED + "SELECT line_id, source, batch_id, row_no, reason FROM j WHERE reason IS NOT NULL",
+    "p1_loaded": _PARSED + f"""SELECT line_id, source, batch_id, row_no, f0 AS ref, f1 AS counterparty, CASE WHEN mk THEN {_BIG.format('f4')} ELSE {_BIG.format('f2')} END AS amount, 'TRY' AS currency,
+      CASE WHEN mk THEN 'credit' ELSE f5 END AS direction, CASE WHEN mk THEN {_BIG.format('f2')} END AS gross, CASE WHEN mk THEN {_BIG.format('f3')} END AS commission, CAST(trim(d) AS DATE) AS occurred_on FROM j WHERE reason IS NULL""",
     "p2_found": _ORPHANS + "SELECT DISTINCT source, tx_id FROM orphan",
     "p2_counts": _ORPHANS + "SELECT source, period, reason, count(*) AS n FROM orphan GROUP BY ALL",
     "p4_found": _DIFF,

@@ -11,8 +11,10 @@ from mutabik.operators import report
 from mutabik.operators.exact import exact_pairs
 from mutabik.operators.features import featured, minus
 from mutabik.operators.split import split_members
+from mutabik.operators.tolerant import contested
 from mutabik.plans import invariants
 from mutabik.plans.engine import Output, outcomes, run
+from mutabik.queries import quality
 from mutabik.queries.recon_sql import CASCADE
 from mutabik.schema import money_fault
 from mutabik.shared import shared_table
@@ -211,6 +213,23 @@ def ag11_rejects(spark, d):
     return bad.groupBy("source", S.reason_class(F.col("reason")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def jn6_contested(spark, d):
+    """Rows that the exact pass leaves and that still have a possible partner."""
+    f = shared_table(featured(derived_book(spark, d)), "book")
+    hit = exact_pairs(f)
+    used = hit.select(F.col("e_id").alias("tx_id")).unionByName(hit.select(F.col("a_id").alias("tx_id")))
+    return contested(shared_table(minus(f, used), "pool"))
+
+
+def src11_generated(spark, d):
+    """Types emitted and expected for a generated book of 20,000 rows."""
+    from mutabik.sources.generate import generate
+
+    book, want = generate(spark, 1, 20_000)
+    book = shared_table(book, "generated")
+    return report.emitted_by_type(want, run(book).discrepancies)
+
+
 def table_outcomes(spark, d):
     """Outcomes of psp, bank and marketplace taken as one book."""
     return outcomes(result(spark, d, "tables")[1])
@@ -225,7 +244,7 @@ QUERIES = {
     for f in (
         src8_book, prd1_money_faults, prd3_pool, prd11_book_total, jn1_exact, jn2_split, jn3_tolerant, jn4_reversal, jn7_group, jn12_ambiguous, engine_outcomes, st1_matches,
         cl_discrepancies, ag1_kinds, ag2_types, ag3_match_rate, ag4_ageing, ag5_summary, ag11_rejects, ag12_emitted, ag13_labels, ag15_confusion, iv_violations, sk6_match_rows,
-        sk7_discrepancy_rows, fn4_dedup_keys, wn1_occurrences, fn_money, st4_new_rows, table_outcomes, table_types,
+        sk7_discrepancy_rows, fn4_dedup_keys, wn1_occurrences, fn_money, st4_new_rows, jn6_contested, src11_generated, table_outcomes, table_types,
     )
 }
 QUERIES |= {f"cl_{t}": _of_type(t) for t in TYPES}
@@ -235,6 +254,12 @@ _SHOWN = "concat(CASE WHEN {0} < 0 THEN '-' ELSE '' END, CAST(abs({0}) // 100 AS
 _DEDUP = "sha256(concat_ws('|', source, external_ref, CAST(amount AS VARCHAR), strftime(occurred_at, '%Y-%m-%dT%H:%M:%SZ'), direction))"
 _NAMES = lambda names, col: f"(VALUES {', '.join(f'({i}, {chr(39)}{n}{chr(39)})' for i, n in enumerate(names))}) v(pos, {col})"
 _BY_KIND = "SELECT match_id, kind, score_bp, tx_id FROM mem WHERE kind = '{}'"
+_NEAR = "abs(e.us - o.us) < 345600000000"
+_OPEN = f""", q AS (
+  SELECT e.tx_id e_id, o.tx_id a_id FROM p1 e JOIN p1 o ON e.cp = o.cp AND e.direction = o.direction AND e.side = 0 AND o.source = 'bank' AND {_NEAR} AND abs(e.amount - o.amount) <= e.amount // 200
+    AND ((e.ref <> '' AND e.ref = o.ref) OR (NOT e.flagged AND NOT o.flagged))
+  UNION ALL SELECT e.tx_id, o.tx_id FROM p1 e JOIN p1 o ON e.cp = o.cp AND e.ref = o.ref AND e.side = 0 AND o.side = 0 AND e.direction = 'credit' AND o.direction = 'debit' AND e.amount = o.amount AND e.amount > 0 AND {_NEAR})
+SELECT e_id AS tx_id FROM q UNION SELECT a_id FROM q"""
 _ROW = "source, external_ref, counterparty_ref, amount, direction, strftime(occurred_at, '%Y-%m-%d') AS occurred_on"
 ORACLES = {
     "src8_book": _B + " SELECT tx_id, source, external_ref, counterparty_ref, amount, currency, epoch_us(occurred_at) AS us, direction, gross, commission FROM b",
@@ -270,6 +295,8 @@ ORACLES = {
     "iv_violations": CASCADE + """SELECT 'placed once' AS invariant, count(*) AS n FROM (SELECT tx_id FROM b LEFT JOIN (SELECT tx_id, count(*) c FROM (SELECT tx_id FROM mem UNION ALL SELECT tx_id FROM dis WHERE tx_id IS NOT NULL) GROUP BY tx_id) USING (tx_id) WHERE coalesce(c, 0) <> 1)
       UNION ALL SELECT 'one match', count(*) FROM (SELECT tx_id FROM mem GROUP BY tx_id HAVING count(*) > 1)
       UNION ALL SELECT 'delta', count(*) FROM dis JOIN b USING (tx_id) WHERE NOT CASE WHEN type = 'timing' THEN delta = 0 WHEN type IN ('partial', 'commission') THEN delta >= 0 AND delta < amount WHEN type = 'refund' THEN delta = -amount ELSE delta = amount END""",
+    "jn6_contested": CASCADE + _OPEN,
+    "ag11_rejects": quality.ORACLES["p1_rejects"].replace("SELECT line_id, source, batch_id, row_no, reason FROM j", "SELECT source, reason, count(*) AS n FROM j") + " GROUP BY ALL",
     "sk6_match_rows": CASCADE + f"SELECT match_id, kind, score_bp, tx_id, {_ROW} FROM mem JOIN b USING (tx_id)",
     "sk7_discrepancy_rows": CASCADE + f"SELECT type, coalesce(dis.tx_id, 0) AS tx_id, match_id, delta, {_ROW} FROM dis LEFT JOIN b ON b.tx_id = dis.tx_id",
     "fn4_dedup_keys": _B + f" SELECT tx_id, {_DEDUP} AS dedup_key FROM b",
