@@ -31,17 +31,17 @@ def types(discrepancies: DataFrame) -> DataFrame:
 
 def match_rate(book: DataFrame, members: DataFrame) -> DataFrame:
     """total, matched, rate_pct (whole per cent cut off; '' for an empty book)."""
-    return book.agg(F.count("*").alias("total")).crossJoin(members.agg(F.count("*").alias("matched"))).withColumn(
-        "rate_pct", F.when(F.col("total") > 0, F.floor(F.col("matched") * 100 / F.col("total")).cast("string")).otherwise("")
-    )
+    both = book.select(F.lit(0).alias("m")).unionByName(members.select(F.lit(1).alias("m")))
+    n = both.agg(F.count_if(F.col("m") == 0).alias("total"), F.count_if(F.col("m") == 1).alias("matched"))
+    return n.withColumn("rate_pct", F.when(F.col("total") > 0, F.floor(F.col("matched") * 100 / F.col("total")).cast("string")).otherwise(""))
 
 
 def ageing(book: DataFrame, discrepancies: DataFrame) -> DataFrame:
     """pos, age, n: row-level discrepancies by age against the newest row of the book."""
     at = book.select("tx_id", micros(F.col("occurred_at")).alias("us"))
-    newest = at.agg(F.max("us").alias("newest"))
-    d = discrepancies.where("tx_id is not null").join(at, "tx_id").crossJoin(F.broadcast(newest))
-    days = F.floor((F.col("newest") - F.col("us")) / F.lit(DAY_US))
+    newest = at.agg(F.max("us")).first()[0] or 0
+    d = discrepancies.where("tx_id is not null").join(at, "tx_id")
+    days = F.floor((F.lit(newest) - F.col("us")) / F.lit(DAY_US))
     age = F.when(days <= 7, AGES[0]).when(days <= 30, AGES[1]).otherwise(AGES[2])
     got = d.groupBy(age.alias("age")).agg(F.count("*").alias("n"))
     return _fixed(book.sparkSession, AGES, "age").join(got, "age", "left").select("pos", "age", F.coalesce("n", F.lit(0)).alias("n"))
@@ -49,9 +49,14 @@ def ageing(book: DataFrame, discrepancies: DataFrame) -> DataFrame:
 
 def summary(book: DataFrame, matches: DataFrame, members: DataFrame, discrepancies: DataFrame) -> DataFrame:
     """One row: transactions, matched, matches and discrepancies, and a count per kind and type."""
-    m = matches.agg(F.count("*").alias("matches"), *[F.count_if(F.col("kind") == k).alias(f"kind_{k}") for k in KINDS])
-    d = discrepancies.agg(F.count("*").alias("discrepancies"), *[F.count_if(F.col("type") == t).alias(f"type_{t}") for t in TYPES])
-    return book.agg(F.count("*").alias("transactions")).crossJoin(members.agg(F.count("*").alias("matched_transactions"))).crossJoin(m).crossJoin(d)
+    what = lambda df, name, value: df.select(F.lit(name).alias("what"), value.alias("value"))
+    none = F.lit(None).cast("string")
+    rows = what(book, "transactions", none).unionByName(what(members, "matched_transactions", none)).unionByName(what(matches, "matches", F.col("kind"))).unionByName(what(discrepancies, "discrepancies", F.col("type")))
+    is_ = lambda n: F.col("what") == n
+    totals = [F.count_if(is_(n)).alias(n) for n in ("transactions", "matched_transactions", "matches")]
+    by_kind = [F.count_if(is_("matches") & (F.col("value") == k)).alias(f"kind_{k}") for k in KINDS]
+    by_type = [F.count_if(is_("discrepancies") & (F.col("value") == t)).alias(f"type_{t}") for t in TYPES]
+    return rows.agg(*totals, *by_kind, F.count_if(is_("discrepancies")).alias("discrepancies"), *by_type)
 
 
 def emitted_by_type(truth: DataFrame, discrepancies: DataFrame) -> DataFrame:
@@ -80,7 +85,9 @@ def label_score(truth: DataFrame, matches: DataFrame, members: DataFrame) -> Dat
     size = truth.where("label is not null").groupBy("label").agg(F.count("*").alias("size")).where("size >= 2")
     got = per.where(good).join(size, "label").where("n = size").select("label").distinct()
     whole = size.join(got.withColumn("w", F.lit(1)), "label", "left").agg(F.count("*").alias("intended"), F.count("w").alias("whole"))
-    return sums.crossJoin(whole).withColumn("missed", F.col("intended") - F.col("whole"))
+    names = [*sums.columns, *whole.columns]
+    one = sums.unionByName(whole, allowMissingColumns=True).agg(*[F.max(n).alias(n) for n in names])
+    return one.withColumn("missed", F.col("intended") - F.col("whole"))
 
 
 def confusion(truth: DataFrame, book: DataFrame, members: DataFrame, discrepancies: DataFrame) -> DataFrame:

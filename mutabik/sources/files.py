@@ -58,12 +58,12 @@ def raw_records(spark: SparkSession, spec: SourceSpec, path: str, batch_id: int)
     before = per.withColumn("q0", F.coalesce(F.sum("q").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("q")
     w = Window.partitionBy("_p").orderBy("_i")
     open_before = F.coalesce(F.sum("_q").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("q0")
-    marked = part.join(F.broadcast(before.limit(1_000_000)), "_p").withColumn("_starts", (open_before % 2 == 0).cast("int"))
+    marked = part.join(before, "_p").withColumn("_starts", (open_before % 2 == 0).cast("int"))
     used = marked.where((F.col("_starts") == 0) | (F.col("value") != ""))
     starts = used.groupBy("_p").agg(F.sum("_starts").alias("s"))
     base = starts.withColumn("s0", F.coalesce(F.sum("s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
     no = F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("s0")
-    rec = used.join(F.broadcast(base.limit(1_000_000)), "_p").withColumn("row_no", no.cast("int")).where("row_no > 1")
+    rec = used.join(base, "_p").withColumn("row_no", no.cast("int")).where("row_no > 1")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "value"))), lambda x: x["value"]), "\n")  # the lines of one record
     out = rec.groupBy("row_no").agg(text.alias("raw_text"))
     return out.select(F.col("row_no").cast("bigint").alias("line_id"), F.lit(spec.name).alias("source"), F.lit(batch_id).cast("bigint").alias("batch_id"), "row_no", "raw_text")
