@@ -86,13 +86,12 @@ def with_scrap(payments: DataFrame) -> DataFrame:
     """Adds scrap: the letters and digits of the written reference, without its common words."""
     w = payments.withColumn("_w", all_words(F.col("ref_text")))
     seen = w.select(F.explode("_w").alias("w"))
-    n = payments.agg(F.count("*").alias("n_all"))
-    common = seen.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where((F.col("df") > F.col("n_all") * COMMON) & (F.col("df") > 3))
-    stop = common.agg(F.collect_set("w").alias("stop"))  # at most words-per-row / COMMON of them
-    out = w.crossJoin(F.broadcast(stop))
-    rare = F.array_join(F.filter("_w", lambda x: ~F.array_contains(F.col("stop"), x)), "")
+    often = max(3.0, payments.count() * COMMON)
+    # At most the words of a row / COMMON of them, as each is in so large a part of the rows.
+    stop = [r["w"] for r in seen.groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") > often).select("w").collect()]
+    rare = F.array_join(F.filter("_w", lambda x: ~x.isin(stop)), "") if stop else F.array_join("_w", "")
     scrap = F.when(rare.startswith(GLUED) & (F.length(rare) >= 7), F.substring(rare, 3, 100)).otherwise(rare)
-    return out.withColumn("scrap", F.when(F.length(scrap) >= 4, scrap).otherwise("")).drop("_w", "stop")
+    return w.withColumn("scrap", F.when(F.length(scrap) >= 4, scrap).otherwise("")).drop("_w")
 
 
 def swapped(s: Column) -> Column:

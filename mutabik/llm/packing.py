@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from mutabik.shared import shared_table
 
+#: Pack sizes are a short list of settings; more are refused.
+MOST_PACKS = 1000
 #: Items of a lane, about.
 LANE_ITEMS = 40_000
 
@@ -90,7 +92,11 @@ def pack_items(sizes: DataFrame, packs: DataFrame, lane_items: int = LANE_ITEMS)
     """
     packs = packs.where("pack_name is not null and capacity_tokens > 0").select("pack_name", F.col("capacity_tokens").cast("int").alias("capacity")).dropDuplicates(["pack_name"])
     ids = sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("tokens"))
-    both = ids.crossJoin(F.broadcast(packs)) if packs.count() <= 1000 else ids.join(packs)  # a fixed few packs, not pairs of rows
+    sizes_of = [(r["pack_name"], r["capacity"]) for r in packs.orderBy("pack_name").limit(MOST_PACKS + 1).collect()]
+    if len(sizes_of) > MOST_PACKS:
+        raise ValueError(f"more than {MOST_PACKS} pack sizes")
+    each = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).cast("int").alias("capacity")) for n, c in sizes_of]) if sizes_of else F.array().cast("array<struct<pack_name:string,capacity:int>>")
+    both = ids.select("doc_id", "tokens", F.explode(each).alias("_p")).select("doc_id", "tokens", "_p.*")
     last = F.ceil(F.col("tokens") / F.col("capacity")).cast("int") - 1
     cut = both.withColumn("piece", F.explode(F.when(F.col("tokens") > 0, F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(0)))))
     piece = F.least(F.col("capacity").cast("bigint"), F.col("tokens") - F.col("piece").cast("bigint") * F.col("capacity"))
@@ -115,4 +121,4 @@ def container_fill(packed: DataFrame, packs: DataFrame) -> DataFrame:
     """pack_name, container, items, fill, unused of each container."""
     c = packs.select(F.col("pack_name").alias("_p"), F.col("capacity_tokens").cast("bigint").alias("_c"))
     f = packed.where("container is not null").groupBy("pack_name", "container").agg(F.count("*").alias("items"), F.sum("tokens").alias("fill"))
-    return f.join(F.broadcast(c.limit(1000)), F.col("pack_name") == F.col("_p")).select("pack_name", "container", "items", "fill", (F.col("_c") - F.col("fill")).alias("unused"))
+    return f.join(c, F.col("pack_name") == F.col("_p")).select("pack_name", "container", "items", "fill", (F.col("_c") - F.col("fill")).alias("unused"))

@@ -33,7 +33,6 @@ _QUOTE = re.compile(r"[“„«「『（(【”»」』）)】\"]")
 _WORD = re.compile(r"[^\W_][\w'’.\-]*")
 _TOKEN = re.compile(r"(?:(\S+)[ \n])?([^\s“„«「『（(【\"]+)$")
 _EMOJI, _UNSPACED, _CJK = (re.compile(f"[{x}]") for x in (EMOJI, UNSPACED, CJK))
-_THAI = re.compile("[฀-๿]")
 _NO_START = re.compile(rf"[{re.escape(TERM + CLOSE)},;:،、，；：{EMOJI}]")
 _LIST = re.compile(r"(?:[-*•–·]|\d{1,3}[.)])\s")
 
@@ -163,51 +162,68 @@ def gaps(text: str) -> list[Gap]:
 
 def clear_label(g: Gap, starters: Counter | None = None) -> bool:
     """Whether a unit begins here, where layout and marks decide it (labels for training)."""
-    tok = g.tok.lower()
     starts = starters is None or starters[g.nt] >= 2
     if g.nx == "L":
         return True
     if g.sp in ("n", "b") and g.nx != "l":
         return True
-    if g.nx in "—–" and g.sp not in ("n", "b"):
+    if g.nx in "—–":
         return False
     if g.quoted and g.tail:
-        if not g.opens:
-            return g.nx == "U" or (g.low and g.nx == "l" and starts and g.script == "cased") if g.tok and g.sp and g.script == "cased" and not g.tail == "." else g.nx == "U" and g.sp != ""
-        return g.nx != "l" and not REPORTS.match(g.right) or (g.low and starts)
+        return _after_quote(g, starts)
     if not g.tail:
-        if g.script == "thai":
-            return g.sp == "s" and bool(THAI_END.search(g.tok)) and g.nx == "a"
-        if g.script == "cjk":
-            return g.sp == "s" and not g.mark and g.nx in "aU"
-        if g.emo:
-            return g.nx in "Ua"
-        return g.sp == "b" and g.nx != "l"
+        return _after_no_mark(g)
     if g.tail == "…":
-        if g.script == "cjk":
-            return g.sp != "" and g.nx in "aU"
-        return g.nx not in "l" or (g.low and starts)
+        return g.sp != "" and g.nx in "aU" if g.script == "cjk" else g.nx != "l" or (g.low and starts)
     if g.tail == ".":
-        if g.sp == "" and not (g.nx in "Ua" and g.tok and g.tok[-1].isalpha() and (g.tok[-1].islower() or g.script != "cased") and "." not in g.tok):
-            return False
-        if tok.isdigit():
-            return g.nx in "Uq(" and starts and bool(g.tok2) and g.tok2 != "Am"
-        if tok in ("no", "nr", "n", "s", "p") and g.nx == "9":
-            return False
-        if tok in EITHER or (tok == "vs" and g.nx == "U"):
-            return g.nx in "Uq"
-        if tok in BEFORE or (len(tok) == 1 and tok.isalpha()):
+        known = _after_period(g, starts)
+        if known is not None:
+            return known
+    return g.low if g.nx == "l" else True
+
+
+def _after_quote(g: Gap, starts: bool) -> bool:
+    """After a closing quote or bracket with a mark inside."""
+    if g.opens:
+        return (g.nx != "l" and not REPORTS.match(g.right)) or (g.low and starts)
+    if g.tok and g.sp and g.script == "cased" and g.tail != ".":
+        return g.nx == "U" or (g.low and g.nx == "l" and starts)
+    return g.nx == "U" and g.sp != ""
+
+
+def _after_no_mark(g: Gap) -> bool:
+    if g.script == "thai":
+        return g.sp == "s" and bool(THAI_END.search(g.tok)) and g.nx == "a"
+    if g.script == "cjk":
+        return g.sp == "s" and not g.mark and g.nx in "aU"
+    if g.emo:
+        return g.nx in "Ua"
+    return g.sp == "b" and g.nx != "l"
+
+
+def _after_period(g: Gap, starts: bool) -> bool | None:
+    """None: the period is no part of a number or abbreviation."""
+    tok = g.tok.lower()
+    if g.sp == "":
+        word = g.tok[-1:].isalpha() and (g.tok[-1:].islower() or g.script != "cased") and "." not in g.tok
+        if not (g.nx in "Ua" and word):
             return False
-        if g.script == "cjk":
-            return g.sp != "" and g.nx != "9"
-    if g.nx == "l":
-        return g.low
-    return True
+    if tok.isdigit():
+        return g.nx in "Uq(" and starts and bool(g.tok2) and g.tok2 != "Am"
+    if tok in ("no", "nr", "n", "s", "p") and g.nx == "9":
+        return False
+    if tok in EITHER or (tok == "vs" and g.nx == "U"):
+        return g.nx in "Uq"
+    if tok in BEFORE or (len(tok) == 1 and tok.isalpha()):
+        return False
+    if g.script == "cjk":
+        return g.sp != "" and g.nx != "9"
+    return None
 
 
 def features(g: Gap) -> list[str]:
     tok = g.tok.lower() if g.tail == "." else ""
-    one = "1" if len(tok) == 1 else "d" if tok.isdigit() else "."if "." in tok else ""
+    one = "1" if len(tok) == 1 else "d" if tok.isdigit() else "." if "." in tok else ""
     shape = f"{g.tail}|{g.sp}|{g.nx}|{g.script}|{g.quoted:d}{g.opens:d}{g.low:d}{g.emo:d}"
     out = ["b", f"0{shape}|{one}", f"1{g.sp}{g.tail}", f"2{g.tail}|{g.low:d}|{g.nt}", f"3{g.tail}|{g.sp}|{g.nx}", f"a{g.tail}|{g.nt}"]
     if g.quoted:
