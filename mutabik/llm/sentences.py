@@ -365,12 +365,7 @@ def train_on(docs: DataFrame, sample: int = SAMPLE) -> Chain:
     return fit(training_set(r["text"] for r in sorted(rows, key=lambda r: r["h"])))
 
 
-def sentence_starts(docs: DataFrame, model: Chain | None = None) -> DataFrame:
-    """doc_id, start_pos: where each sentence unit of documents.text begins, counted from 1.
-
-    Defined results: null, empty and blank texts have no units; a text of any length is read whole;
-    a document given twice comes out twice; a null doc_id is kept.
-    """
+def _tagged(docs: DataFrame, model: Chain | None, units: bool) -> DataFrame:
     model = model or train_on(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model.w, model.t))  # as large as the training sample allows
 
@@ -378,17 +373,26 @@ def sentence_starts(docs: DataFrame, model: Chain | None = None) -> DataFrame:
         m = Chain()
         m.w, m.t = shared.value
         for p in parts:
-            found = [starts_of(t, m) if isinstance(t, str) else [] for t in p["text"]]
-            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64").repeat([len(f) for f in found]).to_numpy(), "start_pos": [x for f in found for x in f]})
+            texts = [t if isinstance(t, str) else "" for t in p["text"]]
+            found = [starts_of(t, m) for t in texts]
+            out = {"doc_id": p["doc_id"].astype("Int64").repeat([len(f) for f in found]).to_numpy(), "start_pos": [x for f in found for x in f]}
+            if units:
+                out["unit"] = [t[a - 1 : b - 1].strip() for t, f in zip(texts, found) for a, b in zip(f, [*f[1:], len(t) + 1])]
+            yield pd.DataFrame(out)
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and text <> ''")
+    return rows.mapInPandas(tag, "doc_id bigint, start_pos int" + ", unit string" * units)
 
-    rows = docs.select("doc_id", "text").where("text is not null and text <> ''")
-    return rows.mapInPandas(tag, "doc_id bigint, start_pos int")
+
+def sentence_starts(docs: DataFrame, model: Chain | None = None) -> DataFrame:
+    """doc_id, start_pos: where each sentence unit of documents.text begins, counted from 1.
+
+    Defined results: null, empty and blank texts have no units; a text of any length is read whole;
+    a document given twice comes out twice; a null doc_id is kept.
+    """
+    return _tagged(docs, model, units=False)
 
 
 def sentence_units(docs: DataFrame, model: Chain | None = None) -> DataFrame:
     """doc_id, start_pos, unit: the units themselves, without white space around."""
-    starts = sentence_starts(docs, model).groupBy("doc_id").agg(F.array_sort(F.collect_set("start_pos")).alias("s"))  # of one document
-    both = docs.select("doc_id", "text").join(starts, "doc_id")
-    cut = both.select("doc_id", "text", "s", F.posexplode("s").alias("i", "start_pos"))
-    stop = F.coalesce(F.get(F.col("s"), F.col("i") + 1), F.length("text") + 1)
-    return cut.select("doc_id", "start_pos", F.regexp_replace(F.expr("substring(text, start_pos, 2147483647)").substr(F.lit(1), stop - F.col("start_pos")), r"^\s+|\s+$", "").alias("unit"))
+    return _tagged(docs, model, units=True)
