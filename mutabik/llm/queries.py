@@ -34,10 +34,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs.add(psp.where(~F.col("batch_id").isin(last) | F.col("batch_id").isNull()))
     for b in reversed(last):
         runs.add(psp.where(F.col("batch_id") == b))
-    out = runs.repeats[0]
-    for r in runs.repeats[1:]:
-        out = out.unionByName(r)
-    return out.select(F.col("id").alias("psp_id"), F.col("repeat_id").alias("repeat_psp_id"))
+    return runs.found().select(F.col("id").alias("psp_id"), F.col("repeat_id").alias("repeat_psp_id"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
