@@ -66,14 +66,27 @@ def _reversible(pool: DataFrame) -> DataFrame:
     return j.where(F.when(F.col("direction") == "credit", F.col("near_d") > 0).otherwise(F.col("near_c") > 0)).select("tx_id")
 
 
-def _sole(pool: DataFrame) -> DataFrame:
-    """Edges of equal amount without a reference in which each row is the other's only fit in the horizon."""
+def _horizon(pool: DataFrame) -> DataFrame:
+    """Points of open rows without a claim by reference: n_e, n_o, id_e, id_o, and what lies within the horizon: far_e, far_o, mate."""
     at = ["cp", "direction", "amount", "us"]
     free = pool.where("not flagged and (side = 0 or source = 'bank')")
     e_side, b_side = F.col("side") == 0, F.col("source") == "bank"
     pts = free.groupBy(*at).agg(F.count_if(e_side).alias("n_e"), F.count_if(b_side).alias("n_o"), F.min(F.when(e_side, F.col("tx_id"))).alias("id_e"), F.min(F.when(b_side, F.col("tx_id"))).alias("id_o"))
     w = _frame(Window.partitionBy("cp", "direction", "amount").orderBy("us"), FAR)
-    seen = pts.withColumn("far_e", F.sum("n_e").over(w)).withColumn("far_o", F.sum("n_o").over(w)).withColumn("mate", F.max(F.when(F.col("n_o") > 0, F.struct("id_o", F.col("us").alias("o_us")))).over(w))
+    return pts.withColumn("far_e", F.sum("n_e").over(w)).withColumn("far_o", F.sum("n_o").over(w)).withColumn("mate", F.max(F.when(F.col("n_o") > 0, F.struct("id_o", F.col("us").alias("o_us")))).over(w))
+
+
+def rivals(pool: DataFrame) -> DataFrame:
+    """tx_id, rivals: rows of the other side with the same seller, direction and amount within the horizon."""
+    rows = pool.where("not flagged and (side = 0 or source = 'bank')").select("tx_id", "side", "cp", "direction", "amount", "us")
+    seen = _horizon(pool).select("cp", "direction", "amount", "us", "far_e", "far_o")
+    j = rows.join(seen, ["cp", "direction", "amount", "us"])
+    return j.select("tx_id", F.when(F.col("side") == 0, F.col("far_o")).otherwise(F.col("far_e")).alias("rivals"))
+
+
+def _sole(pool: DataFrame) -> DataFrame:
+    """Edges of equal amount without a reference in which each row is the other's only fit in the horizon."""
+    seen = _horizon(pool)
     e = seen.where("n_e = 1 and far_o = 1").select("cp", "direction", "amount", F.col("us").alias("e_us"), "id_e", F.col("mate.id_o").alias("id_o"), F.col("mate.o_us").alias("o_us"))
     b = seen.where("n_o = 1 and far_e = 1").select("id_o")
     pairs = e.where(within(F.col("e_us"), F.col("o_us"), MATCH_WINDOW_DAYS)).join(b, "id_o", "left_semi")

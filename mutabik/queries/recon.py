@@ -11,7 +11,7 @@ from mutabik.operators import report
 from mutabik.operators.exact import exact_pairs
 from mutabik.operators.features import featured, minus
 from mutabik.operators.split import split_members
-from mutabik.operators.tolerant import contested
+from mutabik.operators.tolerant import contested, rivals
 from mutabik.plans import invariants
 from mutabik.plans.engine import Output, outcomes, run
 from mutabik.queries import quality
@@ -221,6 +221,11 @@ def jn6_contested(spark, d):
     return contested(shared_table(minus(f, used), "pool"))
 
 
+def jn5_rivals(spark, d):
+    """Rows of the other side that could be the same money, for rows without a claim by reference."""
+    return rivals(shared_table(featured(derived_book(spark, d)), "book"))
+
+
 def src11_generated(spark, d):
     """Types emitted and expected for a generated book of 20,000 rows."""
     from mutabik.sources.generate import generate
@@ -244,7 +249,7 @@ QUERIES = {
     for f in (
         src8_book, prd1_money_faults, prd3_pool, prd11_book_total, jn1_exact, jn2_split, jn3_tolerant, jn4_reversal, jn7_group, jn12_ambiguous, engine_outcomes, st1_matches,
         cl_discrepancies, ag1_kinds, ag2_types, ag3_match_rate, ag4_ageing, ag5_summary, ag11_rejects, ag12_emitted, ag13_labels, ag15_confusion, iv_violations, sk6_match_rows,
-        sk7_discrepancy_rows, fn4_dedup_keys, wn1_occurrences, fn_money, st4_new_rows, jn6_contested, src11_generated, table_outcomes, table_types,
+        sk7_discrepancy_rows, fn4_dedup_keys, wn1_occurrences, fn_money, st4_new_rows, jn5_rivals, jn6_contested, src11_generated, table_outcomes, table_types,
     )
 }
 QUERIES |= {f"cl_{t}": _of_type(t) for t in TYPES}
@@ -295,6 +300,8 @@ ORACLES = {
     "iv_violations": CASCADE + """SELECT 'placed once' AS invariant, count(*) AS n FROM (SELECT tx_id FROM b LEFT JOIN (SELECT tx_id, count(*) c FROM (SELECT tx_id FROM mem UNION ALL SELECT tx_id FROM dis WHERE tx_id IS NOT NULL) GROUP BY tx_id) USING (tx_id) WHERE coalesce(c, 0) <> 1)
       UNION ALL SELECT 'one match', count(*) FROM (SELECT tx_id FROM mem GROUP BY tx_id HAVING count(*) > 1)
       UNION ALL SELECT 'delta', count(*) FROM dis JOIN b USING (tx_id) WHERE NOT CASE WHEN type = 'timing' THEN delta = 0 WHEN type IN ('partial', 'commission') THEN delta >= 0 AND delta < amount WHEN type = 'refund' THEN delta = -amount ELSE delta = amount END""",
+    "jn5_rivals": CASCADE + """SELECT t.tx_id, (SELECT count(*) FROM f o WHERE NOT o.flagged AND o.cp = t.cp AND o.direction = t.direction AND o.amount = t.amount AND abs(o.us - t.us) < 2678400000000
+      AND CASE WHEN t.side = 0 THEN o.source = 'bank' ELSE o.side = 0 END) AS rivals FROM f t WHERE NOT t.flagged AND (t.side = 0 OR t.source = 'bank')""",
     "jn6_contested": CASCADE + _OPEN,
     "ag11_rejects": quality.ORACLES["p1_rejects"].replace("SELECT line_id, source, batch_id, row_no, reason FROM j", "SELECT source, reason, count(*) AS n FROM j") + " GROUP BY ALL",
     "sk6_match_rows": CASCADE + f"SELECT match_id, kind, score_bp, tx_id, {_ROW} FROM mem JOIN b USING (tx_id)",
