@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mutabik.config import DAY_US, HORIZON_DAYS, MATCH_WINDOW_DAYS
 from mutabik.functions.scalars import shortfall_type
 from mutabik.operators.features import KEY, within
+from mutabik.shared import shared_table
 
 CLOSE = (MATCH_WINDOW_DAYS + 1) * DAY_US - 1
 FAR = (HORIZON_DAYS + 1) * DAY_US - 1
@@ -61,7 +62,7 @@ def _same_money(book: DataFrame, open_rows: DataFrame) -> DataFrame:
 def classify_open(book: DataFrame, open_rows: DataFrame, ambiguous: DataFrame) -> DataFrame:
     """tx_id, type, delta for every open row. book is the whole featured book."""
     keys = open_rows.where("ref <> ''").select(*KEY).distinct()
-    keyed = book.where("ref <> ''").join(keys, KEY, "left_semi")
+    keyed = shared_table(book.where("ref <> ''").join(keys, KEY, "left_semi"), "keyed")  # read by six aggregates
     opp = lambda s: F.count_if((F.col("side") == 1) & (F.col("direction") == s))
     per_key = keyed.groupBy(*KEY).agg(F.count("*").alias("key_rows"), opp("credit").alias("a_credits"), opp("debit").alias("a_debits"))
     per_copy = keyed.groupBy(*KEY, "source", "direction", "amount").agg(F.min(F.struct("us", "gross0", "tx_id")).alias("first"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from mutabik.config import DAY_US, MATCH_WINDOW_DAYS
 from mutabik.operators.features import within
+from mutabik.shared import shared_table
 
 GROUP = ["cp", "ref", "amount", "direction"]
 REACH = (MATCH_WINDOW_DAYS + 1) * DAY_US
@@ -60,7 +61,7 @@ def exact_pairs(pool: DataFrame) -> DataFrame:
     rows = pool.where("ref <> ''").select("tx_id", *GROUP, "side", "us", "source", "gross0")
     sides = rows.groupBy(*GROUP).agg(F.count_if(F.col("side") == 0).alias("n_e"), F.count_if(F.col("side") == 1).alias("n_a"), F.max(F.when(F.col("side") == 0, F.struct("tx_id", "us"))).alias("e"), F.max(F.when(F.col("side") == 1, F.struct("tx_id", "us"))).alias("a")).where("n_e > 0 and n_a > 0")
     single = sides.where("n_e = 1 and n_a = 1").where(within(F.col("e.us"), F.col("a.us"), MATCH_WINDOW_DAYS)).select(F.col("e.tx_id").alias("e_id"), F.col("a.tx_id").alias("a_id"))
-    many = rows.join(sides.where("n_e > 1 or n_a > 1").select(*GROUP), GROUP, "left_semi")
+    many = shared_table(rows.join(sides.where("n_e > 1 or n_a > 1").select(*GROUP), GROUP, "left_semi"), "many")
     counts = many.groupBy(*GROUP, "us", "side").agg(F.count("*").alias("n"))
     events = counts.groupBy(*GROUP).agg(F.collect_list(F.struct("us", "side", "n")).alias("events"))
     ranges = events.mapInPandas(_walk, "cp string, ref string, amount bigint, direction string, side int, us bigint, first_rank bigint, first_pair bigint, n bigint")

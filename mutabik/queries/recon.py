@@ -70,12 +70,12 @@ def prd11_book_total(spark, d):
 
 
 def jn1_exact(spark, d):
-    return exact_pairs(featured(derived_book(spark, d)))
+    return exact_pairs(shared_table(featured(derived_book(spark, d)), "book"))
 
 
 def jn2_split(spark, d):
     f = shared_table(featured(derived_book(spark, d)), "book")
-    hit = exact_pairs(f)
+    hit = shared_table(exact_pairs(f), "exact")
     used = hit.select(F.col("e_id").alias("tx_id")).unionByName(hit.select(F.col("a_id").alias("tx_id")))
     return split_members(minus(f, used))
 
@@ -216,7 +216,7 @@ def ag11_rejects(spark, d):
 def jn6_contested(spark, d):
     """Rows that the exact pass leaves and that still have a possible partner."""
     f = shared_table(featured(derived_book(spark, d)), "book")
-    hit = exact_pairs(f)
+    hit = shared_table(exact_pairs(f), "exact")
     used = hit.select(F.col("e_id").alias("tx_id")).unionByName(hit.select(F.col("a_id").alias("tx_id")))
     return contested(shared_table(minus(f, used), "pool"))
 
