@@ -39,10 +39,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as a plain scan."""
+    return kept_table(df, name)[0]
+
+
+def kept_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same, with the path, for callers that remove the table when they are done with it."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -52,11 +57,50 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Rows up to which a narrow side (a key or two) may be broadcast: some tens of MB.
-SMALL_ROWS = 1_000_000
+#: Bytes up to which a side may be broadcast.
+MOST_BYTES = 32 << 20
+#: Bytes that a row of fixed-width columns takes in a hash relation, beside its columns.
+ROW_BYTES = 24
+
 
+def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Marks ``df`` for broadcast if it takes at most ``MOST_BYTES``; else it joins by shuffle.
 
-def if_small(df: DataFrame, rows: int | None = None, most: int = SMALL_ROWS) -> DataFrame:
-    """Marks ``df`` for broadcast if it has at most ``most`` rows (``rows``: its count or a bound, if known); else it joins by shuffle."""
+    All columns must be of fixed width (hash strings first), so the number of rows proves the size.
+    ``rows``: its count or a bound, if known.
+    """
+    if any(f.dataType.typeName() in ("string", "binary", "array", "map", "struct") for f in df.schema):
+        raise TypeError("only columns of fixed width have a provable size")
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= most else df
+    return F.broadcast(df) if n * (ROW_BYTES + 8 * len(df.columns)) <= MOST_BYTES else df
+
+
+#: Bits of a key filter: 16 for each key, within these bounds (8 KB to 32 MB).
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
+
+
+def key_filter(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """A bit set of the bigint column ``key``, in chunks of 65,536 bits, and its number of bits.
+
+    It is never larger than 32 MB. With more keys than it was made for it lets more rows pass, so it
+    only ever saves a shuffle; the join behind it stays exact.
+    """
+    bits = LEAST_BITS
+    while bits < min(16 * n, MOST_BITS):
+        bits *= 2
+    h = F.pmod(F.col("key"), F.lit(bits))
+    one = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    words = keys.where("key is not null").select(h.alias("h")).select(F.shiftright("h", 6).alias("word"), one.alias("b"))
+    zeros = keys.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("b"))
+    full = words.unionByName(zeros).groupBy("word").agg(F.bit_or("b").alias("b"))
+    pos = F.struct(F.col("word").bitwiseAND(F.lit(1023)).alias("i"), F.col("b"))
+    chunks = full.groupBy(F.shiftright("word", 10).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(pos)), lambda x: x["b"]).alias("words"))  # 1024 longs each
+    return chunks, bits
+
+
+def may_join(rows: DataFrame, key: str, chosen: tuple[DataFrame, int]) -> DataFrame:
+    """The rows whose ``key`` may be among the keys of the filter; none that is gets lost."""
+    chunks, bits = chosen
+    h = F.pmod(F.col(key), F.lit(bits))
+    word = F.get(F.col("words"), F.shiftright(h, 6).bitwiseAND(F.lit(1023)).cast("int"))
+    return rows.join(F.broadcast(chunks), (F.shiftright(h, 16) == F.col("chunk")) & (F.getbit(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1), "left_semi")
