@@ -51,8 +51,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank, psp, seller = (table(spark, sf_dir, t) for t in ("bank", "psp", "seller"))
-    known = if_small(seller.select("counterparty").where("counterparty is not null").distinct())
-    free = bank.where(~is_blank(F.col("counterparty"))).join(known, "counterparty", "left_anti")
+    known = if_small(seller.where("counterparty is not null").select(F.xxhash64("counterparty").alias("ent")).distinct())
+    free = bank.where(~is_blank(F.col("counterparty"))).withColumn("ent", F.xxhash64("counterparty")).join(known, "ent", "left_anti")
     payments = free.select(F.col("bank_id").alias("payment_id"), F.col("counterparty").alias("name"), F.col("stmt_ref").alias("ref_text"), F.col("amount_kurus").alias("amount"), F.col("value_date").alias("at"))
     sales = psp.where("direction = 'credit'").select(F.col("psp_id").alias("sale_id"), F.col("counterparty").alias("entity"), "ref", F.col("amount_kurus").alias("amount"), F.col("occurred_at").alias("at"))
     settled = bank.where("direction = 'credit'").select(F.col("counterparty").alias("entity"), F.col("stmt_ref").alias("ref"))
