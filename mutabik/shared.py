@@ -72,7 +72,12 @@ def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     if any(f.dataType.typeName() in ("string", "binary", "array", "map", "struct") for f in df.schema):
         raise TypeError("only columns of fixed width have a provable size")
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n * (ROW_BYTES + 8 * len(df.columns)) <= MOST_BYTES else df
+    return F.broadcast(df) if broadcast_fits(n, len(df.columns)) else df
+
+
+def broadcast_fits(rows: int, columns: int) -> bool:
+    """Whether so many rows of columns of fixed width take at most ``MOST_BYTES``."""
+    return rows * (ROW_BYTES + 8 * columns) <= MOST_BYTES
 
 
 #: Bits of a key filter: 16 for each key, within these bounds (8 KB to 32 MB).
