@@ -13,28 +13,35 @@ from mutabik.llm.nearest_time import nearest_in_time
 from mutabik.llm.packing import container_fill, pack_items
 from mutabik.llm.sentences import sentence_starts, sentence_units
 from mutabik.llm.tokens import token_sizes
-from mutabik.shared import if_small, shared_path, shared_table
+from mutabik.shared import drop_path, if_small, shared_path, shared_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Batches that arrive one after the other on top of the history loaded first.
-LAST_BATCHES = 2
+def _history(spark: SparkSession, sf_dir: str) -> HistoryRuns:
+    """All batches of psp, added one after the other in the order of batch_id.
 
-
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated sales: the history is loaded in one go, then the last batches arrive singly."""
+    The table is first laid out as the deliveries came, a folder a batch; rows without a batch come first.
+    """
     psp = table(spark, sf_dir, "psp").select(
-        "batch_id", F.col("psp_id").alias("id"), "counterparty", "ref", F.col("amount_kurus").alias("amount"), "occurred_at", "direction"
+        F.coalesce("batch_id", F.lit(-1)).alias("batch_id"), F.col("psp_id").alias("id"), "counterparty", "ref", F.col("amount_kurus").alias("amount"), "occurred_at", "direction"
     )
-    last = [r[0] for r in psp.where("batch_id is not null").select("batch_id").distinct().orderBy(F.desc("batch_id")).limit(LAST_BATCHES).collect()]
+    delivered = shared_path(spark, "deliveries")
+    psp.write.partitionBy("batch_id").parquet(delivered)
+    arrived = spark.read.schema(psp.schema).parquet(delivered)
+    batches = [r[0] for r in arrived.select("batch_id").distinct().orderBy("batch_id").collect()]  # a row for each delivery
     runs = HistoryRuns(spark, shared_path(spark, "history"))
-    runs.add(psp.where(~F.col("batch_id").isin(last) | F.col("batch_id").isNull()))
-    for b in reversed(last):
-        runs.add(psp.where(F.col("batch_id") == b))
-    return runs.found().select(F.col("id").alias("psp_id"), F.col("repeat_id").alias("repeat_psp_id"))
+    for b in batches:
+        runs.add(spark.read.schema(psp.schema).parquet(f"{delivered}/batch_id={b}"))
+    drop_path(spark, delivered)
+    return runs
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated sales: every batch is checked against all that was accepted before it."""
+    return _history(spark, sf_dir).found().select(F.col("id").alias("psp_id"), F.col("repeat_id").alias("repeat_psp_id"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
