@@ -13,7 +13,7 @@ from mutabik.llm.nearest_time import nearest_in_time
 from mutabik.llm.packing import container_fill, pack_items
 from mutabik.llm.sentences import sentence_starts, sentence_units
 from mutabik.llm.tokens import token_sizes
-from mutabik.shared import drop_path, if_small, shared_path, shared_table
+from mutabik.shared import if_small, shared_path, shared_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,21 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _history(spark: SparkSession, sf_dir: str) -> HistoryRuns:
-    """All batches of psp, added one after the other in the order of batch_id.
+    """All batches of psp, added one after the other in the order of batch_id; rows without a batch come first.
 
-    The table is first laid out as the deliveries came, a folder a batch; rows without a batch come first.
+    psp lies in the order of arrival, so the scan of a batch skips the row groups of all others.
     """
     psp = table(spark, sf_dir, "psp").select(
-        F.coalesce("batch_id", F.lit(-1)).alias("batch_id"), F.col("psp_id").alias("id"), "counterparty", "ref", F.col("amount_kurus").alias("amount"), "occurred_at", "direction"
+        "batch_id", F.col("psp_id").alias("id"), "counterparty", "ref", F.col("amount_kurus").alias("amount"), "occurred_at", "direction"
     )
-    delivered = shared_path(spark, "deliveries")
-    psp.write.partitionBy("batch_id").parquet(delivered)
-    arrived = spark.read.schema(psp.schema).parquet(delivered)
-    batches = [r[0] for r in arrived.select("batch_id").distinct().orderBy("batch_id").collect()]  # a row for each delivery
+    batches = [r[0] for r in psp.select("batch_id").distinct().orderBy(F.asc_nulls_first("batch_id")).collect()]  # a row for each delivery
     runs = HistoryRuns(spark, shared_path(spark, "history"))
     for b in batches:
-        runs.add(spark.read.schema(psp.schema).parquet(f"{delivered}/batch_id={b}"))
-    drop_path(spark, delivered)
+        runs.add(psp.where(F.col("batch_id").isNull() if b is None else F.col("batch_id") == b))
     return runs
 
 

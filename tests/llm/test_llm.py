@@ -96,24 +96,44 @@ def _sales(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_batches_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,driver_pairs", [(1, 1000), (2, 0)])
+def test_batches_equal_brute_force(spark, seed, driver_pairs):
     rows = _sales(seed, 260)
-    runs = hd.HistoryRuns(spark, shared_path(spark, "t"), max_runs=2)
+    runs = hd.HistoryRuns(spark, shared_path(spark, "t"), max_runs=2, driver_pairs=driver_pairs)
     for k in range(0, 260, 65):
-        runs.add(spark.createDataFrame(rows[k : k + 65], SALE).withColumnRenamed("id", "id"))
-    got = {(r["id"], r["repeat_id"]) for f in runs.repeats for r in f.collect()}
-    assert got == brute_repeats(rows)
+        runs.add(spark.createDataFrame(rows[k : k + 65], SALE))
+    got = [(r["id"], r["repeat_id"]) for r in runs.found().collect()]
+    assert set(got) == brute_repeats(rows) and len(got) == len(set(got))
     assert len(runs.runs) < 4
 
 
+def test_a_batch_reads_no_run_out_of_reach(spark, monkeypatch):
+    runs, opened = hd.HistoryRuns(spark, shared_path(spark, "t"), max_runs=2), []
+    near = hd.HistoryRuns._near
+    monkeypatch.setattr(hd.HistoryRuns, "_near", lambda self, fresh, n, lo, hi: opened.append(sum(r.hi >= lo - self.window_us and r.lo <= hi + self.window_us for r in self.runs)) or near(self, fresh, n, lo, hi))
+    for k in range(10):  # a day a week; what is near stays the same however long the history
+        runs.add(spark.createDataFrame([(10 * k + i, "s", "ORD-%07d" % i, 100, T0 + timedelta(days=7 * k), "credit") for i in range(3)], SALE))
+    assert opened[-3:] == [0, 0, 0] and {r.level for r in runs.runs} == {0, 2}
+
+
+def test_bit_sets_lose_no_row(spark, monkeypatch):
+    rows = _sales(4, 200)
+    monkeypatch.setattr(hd, "broadcast_fits", lambda rows, columns: False)
+    runs = hd.HistoryRuns(spark, shared_path(spark, "t"))
+    for k in range(0, 200, 100):
+        runs.add(spark.createDataFrame(rows[k : k + 100], SALE))
+    assert {(r["id"], r["repeat_id"]) for r in runs.found().collect()} == brute_repeats(rows)
+
+
 def test_history_dedup_edges(spark):
     rows = [(1, "s", "ORD-1234567", 100, T0, "credit"), (1, "s", "ORD-1234567", 100, T0, "credit"), (2, None, "ORD-1234567", 100, T0, "credit"), (None, "s", "ORD-1234567", 100, T0, "credit"), (3, "s", "X" * 5000, 1, T0, "credit"), (4, "s", "X" * 5001, 1, T0, "credit"), (5, "s", "  ", 1, T0, "credit"), (6, "s", "ORD1234567", None, T0, "credit")]
     rows += [(10 + i, "s", "HOT/0000001", 700, T0, "debit") for i in range(3000)]
     runs = hd.HistoryRuns(spark, shared_path(spark, "t"))
     df = spark.createDataFrame([(*r, "x") for r in rows], SALE + ", grp string")
-    assert runs.add(df.limit(0)).count() == 0
-    got = {(r["id"], r["repeat_id"]) for r in runs.add(df).collect()}
+    runs.add(df.limit(0))
+    assert runs.found().count() == 0
+    runs.add(df)
+    got = {(r["id"], r["repeat_id"]) for r in runs.found().collect()}
     assert got == {(3, 4)} | {(10, 10 + i) for i in range(1, 3000)}
 
 
