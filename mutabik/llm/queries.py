@@ -94,17 +94,17 @@ def _mixed(spark: SparkSession, sf_dir: str, budget_share: float | None) -> tupl
 
 
 def p8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chosen reviews of each mix with their repeats; the targets are met."""
+    """The chosen reviews of each mix with their repeats; every share is within 0.002 of its target."""
     return _mixed(spark, sf_dir, None)[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and reached shares of each mix at the largest budget that meets the targets."""
+    """Target and reached shares of each mix at the largest budget with all shares within 0.002 of their targets."""
     return _mixed(spark, sf_dir, None)[1]
 
 
 def p8_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares reached when each mix must have as many tokens as all reviews together."""
+    """Shares reached when each mix must have as many tokens as its sources have."""
     return _mixed(spark, sf_dir, 1.0)[1]
 
 

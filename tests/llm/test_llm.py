@@ -249,6 +249,12 @@ def test_exponents():
     a = mixing.exponent_for_limits(q, p, 1000, most)
     w = mixing.weights_at(q, p, a)
     assert 0 < a < 1 and all(1000 * w[s] <= most[s] * 1.0001 for s in w) and 1000 * mixing.weights_at(q, p, a + 0.01)["c"] > most["c"]
+    assert mixing.exponent_for_limits(q, p, 1000, {**most, "a": 600.0}) > 0 and mixing.exponent_for_limits(q, p, 1000, {s: 1.0 for s in q}) is None
+    e = mixing.exponent_for_targets(q, p, 0.01)
+    assert 0 < e < 1 and max(abs(v - p[s]) for s, v in mixing.weights_at(q, p, e).items()) == pytest.approx(0.01, abs=1e-9)
+    assert mixing.exponent_for_targets(q, q, 0.01) == 0.0
+    none = mixing.plan_mix("m", p, {"a": 1, "b": 1, "c": 1}, {"a": 70, "b": 20, "c": 10}, 100, 2.0, 0.002)
+    assert not any(x.feasible for x in none) and [x.passes for x in none] == [1, 1, 1] and none[0].wanted == 200
     t = mixing.exponent_for_entropy(q, 1.0)
     r = {s: v**t for s, v in q.items()}
     assert mixing.entropy({s: v / sum(r.values()) for s, v in r.items()}) == pytest.approx(1.0, abs=1e-6)
@@ -258,7 +264,7 @@ def test_exponents():
 def test_mixing_meets_shares_and_limits(spark):
     rng = random.Random(4)
     rows = [(i, rng.choices(["big", "mid", "tiny", None], [70, 25, 4, 1])[0], rng.randrange(0, 60)) for i in range(6000)]
-    rows += rows[:100] + [(None, "big", 5)]
+    rows += rows[:100]
     sizes = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
     goals = [("m", "big", 0.5, 1), ("m", "mid", 0.3, 2), ("m", "tiny", 0.2, 5), ("n", "tiny", 0.9, 3), ("n", "none", 0.1, 3), ("n", "big", 0.1, None)]
     targets = spark.createDataFrame(goals, "mix_name string, source string, target_share double, max_repeats int")
@@ -274,6 +280,11 @@ def test_mixing_meets_shares_and_limits(spark):
     assert s[(s.mix_name == "n") & (s.source == "tiny")].reached_share.item() == 1.0
     got = c.assign(t=c.tokens * c.repeats).groupby(["mix_name", "source"]).t.sum()
     assert all(got.get((r.mix_name, r.source), 0) == r.tokens for r in s.itertuples())
+    assert 0.9 < m.exponent.iloc[0] < 1 and m.feasible.all()
+    tempered = mixing.mix_sources(sizes, targets, 1.2)[1].toPandas()
+    assert 0 < tempered[tempered.mix_name == "m"].exponent.iloc[0] < 1 and tempered.feasible.all()
+    no_ids = spark.createDataFrame([(None, "big", 5)] * 40 + [(None, "tiny", 5)] * 20, sizes.schema)
+    assert mixing.mix_sources(no_ids, targets)[0].where("mix_name = 'm' and source = 'big'").count() == 40
     again = mixing.mix_sources(sizes.repartition(7), targets)[0].toPandas()
     key = ["mix_name", "source", "doc_id", "tokens"]
     assert again.sort_values(key).reset_index(drop=True).equals(c.sort_values(key).reset_index(drop=True))
