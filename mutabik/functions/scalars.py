@@ -62,7 +62,7 @@ def basis_points(part: Column, whole: Column) -> Column:
 
 def tolerant_limit(amount: Column) -> Column:
     """Largest accepted difference from an expected amount."""
-    return F.floor(amount / F.lit(TOLERANCE_DIVISOR)).cast("bigint")
+    return div(amount, TOLERANCE_DIVISOR)
 
 
 def micros(at: Column) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mutabik.config import DAY_US, KINDS, TYPES
-from mutabik.functions.scalars import format_try, micros
+from mutabik.functions.scalars import div, format_try, micros
 
+# Order of the report and names of its ages.
 REPORT_TYPES = ("commission", "refund", "partial", "timing", "duplicate", "missing", "ambiguous", "unknown")
 AGES = ("0-7d", "8-30d", "30d+")
 
@@ -33,7 +34,7 @@ def match_rate(book: DataFrame, members: DataFrame) -> DataFrame:
     """total, matched, rate_pct (whole per cent cut off; '' for an empty book)."""
     both = book.select(F.lit(0).alias("m")).unionByName(members.select(F.lit(1).alias("m")))
     n = both.agg(F.count_if(F.col("m") == 0).alias("total"), F.count_if(F.col("m") == 1).alias("matched"))
-    return n.withColumn("rate_pct", F.when(F.col("total") > 0, F.floor(F.col("matched") * 100 / F.col("total")).cast("string")).otherwise(""))
+    return n.withColumn("rate_pct", F.when(F.col("total") > 0, div(F.col("matched") * 100, F.col("total")).cast("string")).otherwise(""))
 
 
 def ageing(book: DataFrame, discrepancies: DataFrame) -> DataFrame:

@@ -30,7 +30,8 @@ class Score:
 
     @property
     def passed(self) -> bool:
-        return self.false_matches == 0 and self.missed == 0 and all(v["short"] == 0 and v["surplus"] == 0 for v in self.types.values())
+        """Nothing false, nothing missed; a run into which nothing was put proves nothing."""
+        return any(v["expected"] for v in self.types.values()) and self.false_matches == 0 and self.missed == 0 and all(v["short"] == 0 and v["surplus"] == 0 for v in self.types.values())
 
     def text(self) -> str:
         head = [f"{'PASS' if self.passed else 'FAIL'}: {self.detected} types detected, {self.false_matches} false matches, {self.missed} of {self.intended} intended groups missed", f"{self.transactions} transactions in {self.seconds:.3f} s"]

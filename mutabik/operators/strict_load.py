@@ -69,15 +69,14 @@ def _typed(df: DataFrame) -> DataFrame:
     df = df.withColumn("_f", F.when(F.col("_ok"), split_record(F.col("raw_text"))))
     f = lambda i: F.get(F.col("_f"), F.lit(i))
     mk = F.col("source") == "marketplace"
-    money = lambda c: F.when(c >= 0, c)
     return df.select(
         "*",
         F.size("_f").alias("_n"),
         f(0).alias("_ref"),
         f(1).alias("_cp"),
-        money(parse_kurus(f(2))).alias("_a2"),
-        F.when(mk, money(parse_kurus(f(3)))).alias("_a3"),
-        F.when(mk, money(parse_kurus(f(4)))).alias("_a4"),
+        parse_kurus(f(2)).alias("_a2"),
+        F.when(mk, parse_kurus(f(3))).alias("_a3"),
+        F.when(mk, parse_kurus(f(4))).alias("_a4"),
         F.when(mk, F.lit(CURRENCY)).when(f(3) == CURRENCY, f(3)).alias("_cur"),
         parse_day(F.when(mk, f(5)).otherwise(f(4))).alias("_at"),
         F.when(mk, F.lit("credit")).when(f(5).isin("credit", "debit"), f(5)).alias("_dir"),
@@ -85,19 +84,21 @@ def _typed(df: DataFrame) -> DataFrame:
 
 
 def _checks() -> list[tuple[str, Column]]:
-    """Reasons in order of precedence, each with the condition under which it applies."""
+    """Reasons in order of precedence, each with the condition under which it applies: first what can't be read, then what money must not be."""
     mk = F.col("source") == "marketplace"
     no = lambda c: F.coalesce(~c, F.lit(True))
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
     return [
         ("unknown source", no(F.col("source").isin(*LAYOUTS))),
         ("no text", F.col("raw_text").isNull()),
         ("broken quoting", no(F.col("_ok"))),
         ("wrong column count", no(F.col("_n") == FIELDS)),
         ("invalid amount", F.col("_a2").isNull() | (mk & (F.col("_a3").isNull() | F.col("_a4").isNull()))),
-        ("invalid currency", F.col("_cur").isNull()),
+        ("broken breakdown", mk & no(wide("_a2") - wide("_a3") == wide("_a4"))),
         ("invalid date", F.col("_at").isNull()),
         ("invalid direction", F.col("_dir").isNull()),
-        ("broken breakdown", mk & no(F.col("_a2") - F.col("_a3") == F.col("_a4"))),
+        ("unsupported currency", F.col("_cur").isNull()),
+        ("negative amount", (F.col("_a2") < 0) | (mk & ((F.col("_a3") < 0) | (F.col("_a4") < 0)))),
     ]
 
 

@@ -15,10 +15,13 @@ from mutabik.operators.score import Score, score
 from mutabik.plans.engine import run
 from mutabik.schema import conform
 from mutabik.shared import shared_table
-from mutabik.sources.files import parse_file
+from mutabik.sources.files import HeaderError, parse_file
 from mutabik.sources.generate import generate
 
 ORDER = ("psp", "bank", "marketplace")
+TRUTH_HEADER = "source,row,label,type"
+#: False matches that are shown with their members.
+EXAMPLES = 20
 
 
 def benchmark(spark: SparkSession, seed: int, n: int) -> Score:
@@ -51,8 +54,12 @@ def numbered_book(parts: dict[str, DataFrame]) -> DataFrame:
 def read_truth(spark: SparkSession, path: str, book: DataFrame) -> DataFrame:
     """tx_id, label, want_type from a file source,row,label,type; row is the data record's number from 1.
 
-    Rows of rejected records are skipped; an empty label means that the record must stay unmatched.
+    Rows of rejected records are skipped; an empty label means that the record must stay unmatched. A
+    file with another header is refused.
     """
+    first = spark.read.text(path).limit(1).collect()
+    if not first or first[0][0].strip() != TRUTH_HEADER:
+        raise HeaderError(f"{path}: expected {TRUTH_HEADER!r}")
     t = spark.read.csv(path, header=True, schema="source string, row int, label string, type string")
     at = book.select("tx_id", "source", (F.col("row_no") - 1).alias("row"))
     return at.join(t, ["source", "row"]).select("tx_id", F.when(F.col("label") != "", F.col("label")).alias("label"), F.when(F.col("type") != "", F.col("type")).alias("want_type"))
@@ -75,8 +82,19 @@ def realrun(spark: SparkSession, files: dict[str, str], truth_path: str | None,
         truth = shared_table(read_truth(spark, truth_path, good), "truth")
         s["labels"] = report.label_score(truth, out.matches, out.members).first().asDict()
         s["confusion"] = [r.asDict() for r in report.confusion(truth, book, out.members, out.discrepancies).orderBy("want", "got").collect()]
+        s["label_rows"] = truth.agg(F.count("label").alias("labelled"), F.count_if(F.col("label").isNull()).alias("unlabelled")).first().asDict()
         j = out.members.join(truth, "tx_id", "left").groupBy("match_id").agg(F.countDistinct("label").alias("l"), F.count("label").alias("k"), F.count("*").alias("n"))
-        s["false_examples"] = [r["match_id"] for r in j.where("k > 0 and (l > 1 or k < n)").orderBy("match_id").limit(20).collect()]
+        false = j.where("k > 0 and (l > 1 or k < n)").select("match_id")
+        s["false_by_kind"] = {r["kind"]: r["n"] for r in out.matches.join(false, "match_id").groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        met = out.members.select("tx_id", "match_id")
+        groups = truth.where("label is not null").join(met, "tx_id", "left").groupBy("label").agg(F.count("*").alias("n"), F.count("match_id").alias("k"), F.countDistinct("match_id").alias("m"), F.coalesce(F.max("want_type"), F.lit("")).alias("type"))
+        s["missed_by_type"] = {r["type"]: r["n"] for r in groups.where("n > 1 and (k < n or m > 1)").groupBy("type").agg(F.count("*").alias("n")).collect()}
+        some = false.orderBy("match_id").limit(EXAMPLES)
+        text = F.concat_ws(" ", "source", "external_ref", "counterparty_ref", F.col("amount").cast("string"), F.date_format("occurred_at", "yyyy-MM-dd"), "direction")
+        shown = out.members.join(some, "match_id", "left_semi").join(book, "tx_id").select("match_id", "pos", "tx_id", text.alias("text")).orderBy("match_id", "pos", "tx_id")
+        s["false_examples"] = {}
+        for r in shown.collect():  # members of at most EXAMPLES matches, of at most GROUP_CAP or a few lines each
+            s["false_examples"].setdefault(r["match_id"], []).append(r["text"])
     report.match_rows(book, out.matches, out.members).write.mode("overwrite").csv(f"{out_dir}/matches", header=True)
     report.discrepancy_rows(book, out.discrepancies).orderBy("type", "tx_id").write.mode("overwrite").csv(f"{out_dir}/discrepancies", header=True)
     Path(out_dir, "summary.json").write_text(json.dumps(s, indent=2, default=str))

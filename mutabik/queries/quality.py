@@ -137,7 +137,7 @@ UNION SELECT source, tx_id, 'gross' FROM j WHERE source = 'marketplace' AND gros
 UNION SELECT source, tx_id, 'commission' FROM j WHERE source = 'marketplace' AND commission IS DISTINCT FROM tco
 """
 _FIELD = '("([^"]|"")*"|[^",\\n\\r]*)'
-_AMOUNT = "(regexp_full_match(trim({0}), '[+-]?[0-9]+') AND coalesce(try_cast(trim({0}) AS HUGEINT) BETWEEN 0 AND 9223372036854775807, false))"
+_AMOUNT = "(regexp_full_match(trim({0}), '[+-]?[0-9]+') AND coalesce(try_cast(trim({0}) AS HUGEINT) BETWEEN -9223372036854775808 AND 9223372036854775807, false))"
 _BIG = "CAST(try_cast(trim({}) AS HUGEINT) AS BIGINT)"
 
 
@@ -151,9 +151,11 @@ _PARSED = f"""
 WITH r AS (SELECT *, regexp_matches(raw_text, '^{_FIELD}(,{_FIELD})*$') sound, regexp_matches(raw_text, '^{_FIELD}(,{_FIELD}){{5}}$') six, source = 'marketplace' mk, {', '.join(f'{_field(i)} f{i}' for i in range(6))} FROM raw_line),
 c AS (SELECT *, CASE WHEN mk THEN f5 ELSE f4 END d FROM r),
 j AS (SELECT *, CASE WHEN coalesce(source NOT IN ('psp', 'bank', 'marketplace'), true) THEN 'unknown source' WHEN raw_text IS NULL THEN 'no text' WHEN NOT sound THEN 'broken quoting' WHEN NOT six THEN 'wrong column count'
-  WHEN NOT {_AMOUNT.format('f2')} OR (mk AND NOT ({_AMOUNT.format('f3')} AND {_AMOUNT.format('f4')})) THEN 'invalid amount' WHEN NOT mk AND f3 <> 'TRY' THEN 'invalid currency'
-  WHEN NOT (regexp_full_match(trim(d), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(trim(d) AS DATE) IS NOT NULL) THEN 'invalid date' WHEN NOT mk AND f5 NOT IN ('credit', 'debit') THEN 'invalid direction'
-  WHEN mk AND try_cast(trim(f2) AS HUGEINT) - try_cast(trim(f3) AS HUGEINT) <> try_cast(trim(f4) AS HUGEINT) THEN 'broken breakdown' END reason FROM c)
+  WHEN NOT {_AMOUNT.format('f2')} OR (mk AND NOT ({_AMOUNT.format('f3')} AND {_AMOUNT.format('f4')})) THEN 'invalid amount'
+  WHEN mk AND try_cast(trim(f2) AS HUGEINT) - try_cast(trim(f3) AS HUGEINT) <> try_cast(trim(f4) AS HUGEINT) THEN 'broken breakdown'
+  WHEN NOT (regexp_full_match(trim(d), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(trim(d) AS DATE) IS NOT NULL) THEN 'invalid date'
+  WHEN NOT mk AND f5 NOT IN ('credit', 'debit') THEN 'invalid direction' WHEN NOT mk AND f3 <> 'TRY' THEN 'unsupported currency'
+  WHEN try_cast(trim(f2) AS HUGEINT) < 0 OR (mk AND (try_cast(trim(f3) AS HUGEINT) < 0 OR try_cast(trim(f4) AS HUGEINT) < 0)) THEN 'negative amount' END reason FROM c)
 """
 
 ORACLES = {

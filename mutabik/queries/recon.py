@@ -17,15 +17,17 @@ from mutabik.plans.engine import Output, outcomes, run
 from mutabik.queries import quality
 from mutabik.queries.recon_sql import CASCADE
 from mutabik.schema import money_fault
-from mutabik.shared import shared_table
+from mutabik.shared import shared_table, state
 from mutabik.sources.derived import EXPECTED, derived_book, table_book
 
-_runs: dict[tuple[str, str, str], tuple[DataFrame, Output]] = {}
+_runs: dict[tuple, tuple[DataFrame, Output]] = {}
+#: Tables that a book is made of.
+TABLES = {"derived": ("orders", "lineitem"), "tables": ("psp", "bank", "marketplace")}
 
 
 def result(spark: SparkSession, sf_dir: str, source: str = "derived") -> tuple[DataFrame, Output]:
-    """The book and its result; kept for the session, as the results are tables in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, source)
+    """The book and its result; kept for the session while the files stay as they are, as the results are tables in the shared folder."""
+    key = (spark.sparkContext.applicationId, source, *[state(spark, f"{sf_dir}/{t}.parquet") for t in TABLES[source]])
     if key not in _runs:
         book = (derived_book if source == "derived" else table_book)(spark, sf_dir)
         book = shared_table(book, "input-book")

@@ -57,6 +57,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def state(spark: SparkSession, path: str) -> tuple[str, int, int, int]:
+    """Path, size, number of files and latest change of what lies there."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    c = fs.getContentSummary(p)
+    return path, c.getLength(), c.getFileCount(), fs.getFileStatus(p).getModificationTime()
+
+
 #: Bytes up to which a side may be broadcast.
 MOST_BYTES = 32 << 20
 #: Bytes that a row of fixed-width columns takes in a hash relation, beside its columns.

@@ -14,7 +14,7 @@ from mutabik.plans.engine import Output
 from mutabik.schema import TX, conform
 from mutabik.sources.files import new_rows, parse_file
 
-MANIFEST = "batch_id bigint, source_type string, file_ref string, ingested_at timestamp, status string, row_count int, rejected_count int"
+MANIFEST = "batch_id bigint, source_type string, file_ref string, ingested_at timestamp, status string, row_count int, rejected_count int, attempt string, first_at timestamp, last_at timestamp"
 REJECTED = "batch_id bigint, row_no int, reason string, raw_line string"
 #: Ids of one batch start here.
 BATCH_IDS = 10_000_000_000
@@ -44,8 +44,10 @@ class Summary:
 class ParquetStore:
     """Tables below ``root``, a folder that all executors share. One writer at a time.
 
-    A batch counts from the moment its manifest row is there; rows of a batch that failed before are
-    never read. Results are written beside the old ones and then pointed at.
+    Every attempt to ingest writes to folders of its own, and a batch counts from the moment its manifest
+    row, which names the attempt, is there. What a failed attempt left is never read, also not when its
+    batch id is given again. The manifest keeps the time range of each batch, so a file is compared with
+    those batches only that could hold its keys. Results are written beside the old ones and then pointed at.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -69,11 +71,11 @@ class ParquetStore:
         path = f"{self.root}/source_batch"
         return self.spark.read.schema(MANIFEST).parquet(path) if self._exists(path) else self.spark.createDataFrame([], MANIFEST)
 
-    def _committed(self, table: str, schema) -> DataFrame:
-        path = f"{self.root}/{table}"
-        if not self._exists(path):
+    def _committed(self, table: str, schema, where: str = "true") -> DataFrame:
+        attempts = [r[0] for r in self.batches().where(where).select("attempt").collect()]  # a name for each batch
+        if not attempts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path).join(F.broadcast(self.batches().select("batch_id")), "batch_id", "left_semi")
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{table}/{a}" for a in attempts])
 
     def load(self) -> DataFrame:
         """All transactions of committed batches."""
@@ -85,24 +87,32 @@ class ParquetStore:
     def ingest(self, source: str, path: str) -> Summary:
         """Reads one file; its rows, rejects and counts become visible together or not at all."""
         self.ping()
-        last = self.batches().agg(F.max("batch_id")).first()[0] or 0
-        batch = last + 1
+        batch = (self.batches().agg(F.max("batch_id")).first()[0] or 0) + 1
+        attempt = f"{batch}-{uuid.uuid4().hex}"
         tx, bad = parse_file(self.spark, source, path, batch)
-        staged = f"{self.root}/_staging/{uuid.uuid4().hex}"
-        tx.write.parquet(f"{staged}/tx")
-        bad.write.parquet(f"{staged}/bad")
-        tx, bad = self.spark.read.parquet(f"{staged}/tx"), self.spark.read.schema(REJECTED).parquet(f"{staged}/bad")
-        fresh = new_rows(self.load(), tx).withColumn("tx_id", F.lit(batch).cast("bigint") * BATCH_IDS + F.col("row_no"))
-        for name, df in (("transaction", conform(fresh)), ("rejected_row", bad)):
-            df.write.mode("append").parquet(f"{self.root}/{name}")
-        parsed, rejected = tx.count(), bad.count()
-        inserted = self.spark.read.schema(TX).parquet(f"{self.root}/transaction").where(F.col("batch_id") == batch).count()
-        row = [(batch, source, path, "ingested", parsed, rejected)]
-        done = self.spark.createDataFrame(row, "batch_id bigint, source_type string, file_ref string, status string, row_count int, rejected_count int").withColumn("ingested_at", F.current_timestamp())
-        done.select("batch_id", "source_type", "file_ref", "ingested_at", "status", "row_count", "rejected_count").coalesce(1).write.mode("append").parquet(f"{self.root}/source_batch")
+        staged = f"{self.root}/_staging/{attempt}"
+        tx.write.parquet(staged)
+        bad.write.parquet(f"{self.root}/rejected_row/{attempt}")
+        tx = self.spark.read.parquet(staged)
+        t = tx.agg(F.count("*").alias("n"), F.min("occurred_at").alias("lo"), F.max("occurred_at").alias("hi")).first()
+        # Equal keys are of one day, so only batches whose days overlap can hold them.
+        span = f"first_at <= timestamp '{t['hi']}' and last_at >= timestamp '{t['lo']}'" if t["n"] else "false"
+        have = self._committed("transaction", TX, span)
+        if t["n"]:
+            have = have.where(F.col("occurred_at").between(t["lo"], t["hi"]))
+        fresh = new_rows(have, tx).withColumn("tx_id", F.lit(batch).cast("bigint") * BATCH_IDS + F.col("row_no"))
+        mine = f"{self.root}/transaction/{attempt}"
+        conform(fresh).write.parquet(mine)
+        inserted, rejected = self.spark.read.schema(TX).parquet(mine).count(), self.spark.read.schema(REJECTED).parquet(f"{self.root}/rejected_row/{attempt}").count()
+        self._commit([(batch, source, path, None, "ingested", t["n"], rejected, attempt, t["lo"], t["hi"])])
         fs, p = self._fs(staged)
         fs.delete(p, True)
-        return Summary(batch, parsed, inserted, parsed - inserted, rejected)
+        return Summary(batch, t["n"], inserted, t["n"] - inserted, rejected)
+
+    def _commit(self, row: list[tuple]) -> None:
+        """The one step that makes a batch visible: a file of one row."""
+        done = self.spark.createDataFrame(row, MANIFEST).withColumn("ingested_at", F.current_timestamp())
+        done.coalesce(1).write.mode("append").parquet(f"{self.root}/source_batch")
 
     def save(self, out: Output) -> None:
         """Replaces the stored result."""
