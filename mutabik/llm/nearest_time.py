@@ -33,14 +33,17 @@ OUT = "kind string, left_id bigint, ent bigint, left_us bigint, right_id bigint,
 def nearest(left: np.ndarray, right: np.ndarray, tolerance_us: int) -> pd.DataFrame:
     """For each left row the nearest right row of its entity; at equal distance the smaller id."""
     a = pd.DataFrame({"ent": left["ent"], "left_id": left["id"], "us": left["us"]}).sort_values("us", kind="stable")
-    b = pd.DataFrame({"ent": right["ent"], "right_id": right["id"], "us": right["us"], "right_us": right["us"]})
-    b = b.sort_values(["us", "right_id"], kind="stable").drop_duplicates(["ent", "us"])
-    sides = [pd.merge_asof(a, b, on="us", by="ent", direction=d, tolerance=tolerance_us) for d in ("backward", "forward")]
-    dist = [(s["right_us"] - s["us"]).abs().to_numpy(dtype="float64", na_value=np.inf) for s in sides]
-    ids = [s["right_id"].to_numpy(dtype="float64", na_value=np.inf) for s in sides]
-    later = (dist[1] < dist[0]) | ((dist[1] == dist[0]) & (ids[1] < ids[0]))
-    out = sides[0].where(pd.Series(~later), sides[1])
-    return pd.DataFrame({"kind": "match", "left_id": a["left_id"].to_numpy(), "ent": a["ent"].to_numpy(), "left_us": a["us"].to_numpy(), "right_id": out["right_id"].astype("Int64"), "right_us": out["right_us"].astype("Int64")})
+    b = pd.DataFrame({"ent": right["ent"], "right_id": right["id"], "us": right["us"]})
+    b = b.sort_values(["us", "right_id"], kind="stable").drop_duplicates(["ent", "us"]).reset_index(drop=True)
+    b["k"] = np.arange(len(b))  # the merge makes floats of what may be absent; row numbers bear it, ids and times need not
+    sides = [pd.merge_asof(a, b[["ent", "us", "k"]], on="us", by="ent", direction=d, tolerance=tolerance_us)["k"].fillna(-1).astype("int64").to_numpy() for d in ("backward", "forward")]
+    ids, us = (np.append(b[c].to_numpy(np.int64), 0) for c in ("right_id", "us"))
+    none = np.iinfo(np.int64).max
+    dist = [np.where(k >= 0, np.abs(us[k] - a["us"].to_numpy()), none) for k in sides]
+    later = (dist[1] < dist[0]) | ((dist[1] == dist[0]) & (ids[sides[1]] < ids[sides[0]]))
+    k = np.where(later, sides[1], sides[0])
+    found = lambda x: pd.array(x[k], dtype="Int64") if (k >= 0).all() else pd.array(pd.Series(x[k], dtype="Int64").where(k >= 0))
+    return pd.DataFrame({"kind": "match", "left_id": a["left_id"].to_numpy(), "ent": a["ent"].to_numpy(), "left_us": a["us"].to_numpy(), "right_id": found(ids), "right_us": found(us)})
 
 
 def _rows(b: bytes | None) -> np.ndarray:

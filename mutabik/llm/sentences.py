@@ -12,6 +12,7 @@ marks are missing.
 from __future__ import annotations
 
 import re
+from bisect import bisect, bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -25,13 +26,21 @@ PAIR = dict(zip("“„«「『（(【", "”“»」』）)】"))
 EMOJI = "\U0001f000-\U0001faff☀-➿⬀-⯿️‍"
 UNSPACED = "฀-๿぀-ヿ㐀-鿿豈-﫿ក-៿က-႟຀-໿"
 CJK = "぀-ヿ㐀-鿿豈-﫿"
-LONGEST_QUOTE = 400
 
-_GAP = re.compile(rf"\s+|(?<=[{re.escape(TERM + CLOSE)}\"“{EMOJI}])(?=\S)|(?<=[{CJK}])(?=[{CJK}A-Z])")
+_BEHIND = rf"{re.escape(TERM + CLOSE)}\"“{EMOJI}"
+#: White space behind a mark, an emoji or an unspaced script, or with a line end; behind a mark also without; between characters of CJK.
+_GAP = re.compile(rf"(?<=[{_BEHIND}{UNSPACED}])\s+|(?<!\s)[^\S\r\n]*[\r\n]\s*|(?<=[{_BEHIND}])(?=\S)|(?<=[{CJK}])(?=[{CJK}A-Z])")
+#: In a line without any end mark: at every white space, and where there is none between all characters of an unspaced script.
+_BARE_GAP = re.compile(rf"\s+|(?<=[{CJK}])(?=[{CJK}A-Z])")
+_BARE_CHARS = re.compile(rf"(?<=[{UNSPACED}])(?=[{UNSPACED}A-Z])(?![\u0e31\u0e34-\u0e3a\u0e47-\u0e4e])")
+_MARK = re.compile(rf"[{re.escape(TERM)}\r\n]")
+_UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿа-яё\u0900-\U000fffff]")
 _TAIL = re.compile(rf"[{re.escape(TERM + CLOSE)}\"“\s{EMOJI}]*$")
+_WALL = re.compile(r"[\r\n]\s*(?:[^\W\d_a-zß-ÿа-яё]|[-*•–·\d])")
 _QUOTE = re.compile(r"[“„«「『（(【”»」』）)】\"]")
 _WORD = re.compile(r"[^\W_][\w'’.\-]*")
 _TOKEN = re.compile(r"(?:(\S+)[ \n])?([^\s“„«「『（(【\"]+)$")
+_SPACE = re.compile(r"\s")
 _EMOJI, _UNSPACED, _CJK = (re.compile(f"[{x}]") for x in (EMOJI, UNSPACED, CJK))
 _NO_START = re.compile(rf"[{re.escape(TERM + CLOSE)},;:،、，；：{EMOJI}]")
 _LIST = re.compile(r"(?:[-*•–·]|\d{1,3}[.)])\s")
@@ -54,6 +63,8 @@ def _script(c: str) -> str:
         return "arab"
     if 0x900 <= o < 0xE00:
         return "indic"
+    if 0xE80 <= o < 0xF00 or 0x1000 <= o < 0x10A0 or 0x1780 <= o < 0x1800:
+        return "unspaced"
     return "thai" if 0xE00 <= o < 0xE80 else "cjk" if _CJK.match(c) else "other"
 
 
@@ -70,14 +81,15 @@ def _kind(c: str) -> str:
 
 
 def _spans(text: str) -> list[tuple[int, int]]:
-    """Matched quotes and brackets, outermost first; ones that never close or run on are no spans."""
+    """Matched quotes and brackets of any length, outermost first; ones that never close, or not before a line end that ends a unit, are no spans."""
+    walls = [m.end() - 1 for m in _WALL.finditer(text)]
     stack: list[tuple[str, int]] = []
     out = []
     for m in _QUOTE.finditer(text):
         c, i = m.group(), m.start()
         k = next((k for k in range(len(stack) - 1, -1, -1) if (stack[k][0] == '"' and c == '"') or PAIR.get(stack[k][0]) == c), None)
         if k is not None:
-            if i - stack[k][1] <= LONGEST_QUOTE:
+            if bisect(walls, stack[k][1]) == bisect(walls, i):
                 out.append((stack[k][1], i))
             del stack[k:]
         elif c in PAIR or c == '"':
@@ -97,17 +109,20 @@ def _short(word: str) -> str:
 class Gap:
     """A place where a unit could begin, with what the model sees there."""
 
-    __slots__ = ("at", "emo", "left", "low", "mark", "nt", "nx", "opens", "quoted", "right", "script", "sp", "tail", "tok", "tok2")
+    __slots__ = ("at", "bare", "emo", "left", "low", "mark", "nt", "nx", "opens", "quoted", "right", "script", "sp", "tail", "tok", "tok2")
 
 
 def gaps(text: str) -> list[Gap]:
     out: list[Gap] = []
     spans = _spans(text)
     closes = {e: s for s, e in spans}
-    low = not any(c.isupper() for c in text)
+    upper = [m.start() for m in _UPPER.finditer(text) if m.group().isupper()]
+    low = not upper
+    bare = not _MARK.search(text.strip())
     marked = any(c in CJK_TERM for c in text)
-    k, ends = 0, []
-    for m in _GAP.finditer(text):
+    k, reach = 0, -1
+    find = _GAP if not bare else _BARE_CHARS if not _SPACE.search(text.strip()) else _BARE_GAP
+    for m in find.finditer(text):
         at, end = m.end(), m.start()
         if end == 0 or at >= len(text):
             continue
@@ -119,16 +134,17 @@ def gaps(text: str) -> list[Gap]:
         breaks = "\n" in sp or "\r" in sp
         if not sp and prev in '"“' and end - 1 not in closes:
             continue
-        if sp and not breaks and not (prev in TERM or prev in CLOSE or prev in '"“' or _EMOJI.match(prev) or _UNSPACED.match(prev)):
-            continue
         while k < len(spans) and spans[k][0] < at:
-            ends.append(spans[k][1])
+            reach = max(reach, spans[k][1])
             k += 1
-        if any(e >= at for e in ends[-4:]):
+        if reach >= at:
             continue
         g = Gap()
         g.at, g.mark = at, marked
-        g.low = low or not any(c.isupper() for c in text[max(0, at - 120) : at + 60])
+        # A place that only a line without marks has.
+        g.bare = bare and (not (_CJK.match(prev) or prev in CLOSE or prev in '"“') if not sp else not (prev in CLOSE or prev in '"“' or _EMOJI.match(prev) or _UNSPACED.match(prev)))
+        i = bisect_left(upper, at - 120)
+        g.low = i == len(upper) or upper[i] >= at + 60
         g.sp = ("b" if sp.count("\n") > 1 else "n") if breaks else "s" if sp else ""
         back = text[max(0, end - 24) : end]
         t = _TAIL.search(back)
@@ -163,6 +179,8 @@ def gaps(text: str) -> list[Gap]:
 def clear_label(g: Gap, starters: Counter | None = None) -> bool:
     """Whether a unit begins here, where layout and marks decide it (labels for training)."""
     starts = starters is None or starters[g.nt] >= 2
+    if g.bare:
+        return False
     if g.nx == "L":
         return True
     if g.sp in ("n", "b") and g.nx != "l":
@@ -222,6 +240,11 @@ def _after_period(g: Gap, starts: bool) -> bool | None:
 
 
 def features(g: Gap) -> list[str]:
+    if g.bare:  # words alone; kept apart from what is learnt of marks
+        out = ["B", f"B1{g.nx}|{g.low:d}", f"B2{g.nt}|{g.low:d}", f"B3{g.tok.lower()}", f"B4{g.tok.lower()}|{g.nt}", f"B5{g.tok2.lower()}|{g.tok.lower()}"]
+        if g.script in ("thai", "cjk", "unspaced"):
+            out += [f"Bl{g.left[-2:]}", f"Bm{g.left}", f"Br{g.right[:2]}", f"Bt{g.left[-2:]}{g.right[:2]}"]
+        return out
     tok = g.tok.lower() if g.tail == "." else ""
     one = "1" if len(tok) == 1 else "d" if tok.isdigit() else "." if "." in tok else ""
     shape = f"{g.tail}|{g.sp}|{g.nx}|{g.script}|{g.quoted:d}{g.opens:d}{g.low:d}{g.emo:d}"
@@ -237,15 +260,15 @@ def features(g: Gap) -> list[str]:
 
 
 class Chain:
-    """Weights of the tags inside (0) and beginning (1), and of their transitions."""
+    """Weights of the tags inside (0) and beginning (1), and of their transitions, in lines without marks apart."""
 
     def __init__(self) -> None:
         self.w: dict[str, float] = {}
-        self.t = [[0.0, 0.0], [0.0, 0.0]]
+        self.t = {bare: [[0.0, 0.0], [0.0, 0.0]] for bare in (False, True)}
 
     def decode(self, seq: list[list[str]]) -> list[int]:
         """Viterbi over the gaps of one document."""
-        w, t = self.w, self.t
+        w, t = self.w, self.t[_is_bare(seq)]
         a, b, back = 0.0, -1e30, []
         for i, fs in enumerate(seq):
             s = sum(w.get(f, 0.0) for f in fs)
@@ -266,10 +289,15 @@ class Chain:
         return out[::-1]
 
 
+def _is_bare(seq: list[list[str]]) -> bool:
+    return any(fs[0] == "B" for fs in seq)
+
+
 def fit(data: list[tuple[list[list[str]], list[int]]], epochs: int = 12) -> Chain:
     """Averaged structured perceptron."""
     c = Chain()
-    w, total, t_total = defaultdict(float), defaultdict(float), [[0.0, 0.0], [0.0, 0.0]]
+    w, total = defaultdict(float), defaultdict(float)
+    t_total = {bare: [[0.0, 0.0], [0.0, 0.0]] for bare in c.t}
     c.w = w
     n = 1
     for _ in range(epochs):
@@ -280,6 +308,7 @@ def fit(data: list[tuple[list[list[str]], list[int]]], epochs: int = 12) -> Chai
             if got == gold:
                 continue
             wrong += 1
+            t, tt = c.t[_is_bare(seq)], t_total[_is_bare(seq)]
             for i, fs in enumerate(seq):
                 if got[i] != gold[i]:
                     d = gold[i] - got[i]
@@ -288,12 +317,12 @@ def fit(data: list[tuple[list[list[str]], list[int]]], epochs: int = 12) -> Chai
                         total[f] += d * n
                 if i:
                     for tags, d in ((gold, 1.0), (got, -1.0)):
-                        c.t[tags[i - 1]][tags[i]] += d
-                        t_total[tags[i - 1]][tags[i]] += d * n
+                        t[tags[i - 1]][tags[i]] += d
+                        tt[tags[i - 1]][tags[i]] += d * n
         if not wrong:
             break
     c.w = {f: v - total[f] / n for f, v in w.items() if v or total[f]}
-    c.t = [[c.t[i][j] - t_total[i][j] / n for j in range(2)] for i in range(2)]
+    c.t = {k: [[c.t[k][i][j] - t_total[k][i][j] / n for j in range(2)] for i in range(2)] for k in c.t}
     return c
 
 
@@ -316,6 +345,28 @@ def _strip(text: str, starts: set[int]) -> tuple[str, set[int]]:
     return "".join(keep), moved
 
 
+def _bare(text: str, starts: set[int]) -> tuple[str, set[int]]:
+    """The text as one line without end marks, and where its units begin then; marks within numbers stay."""
+    keep, moved, pending = [], set(), False
+    for i, c in enumerate(text):
+        pending = pending or i in starts
+        inside = text[i - 1 : i].isdigit() and text[i + 1 : i + 2].isdigit()
+        if (c in TERM and not inside) or _EMOJI.match(c):
+            continue
+        c = " " if c in "\r\n" else c
+        if c == " " and (not keep or keep[-1] == " "):
+            continue
+        if pending and c != " ":
+            moved.add(len(keep))
+            pending = False
+        keep.append(c)
+    return "".join(keep), moved
+
+
+#: One text in so many is also learnt as a line without marks.
+BARE_EVERY = 6
+
+
 def training_set(texts: Iterable[str]) -> list[tuple[list[list[str]], list[int]]]:
     texts = [t for t in texts if t and t.strip()]
     seen = [(t, gaps(t)) for t in texts]
@@ -324,13 +375,17 @@ def training_set(texts: Iterable[str]) -> list[tuple[list[list[str]], list[int]]
         if gs and any(c.isupper() for c in t):
             starters.update(g.nt for g in gs if g.nx == "U" and g.tail in ("!", "?", ".") and g.sp)
     data = []
-    for t, gs in seen:
+    for n, (t, gs) in enumerate(seen):
         label = [int(clear_label(g, starters)) for g in gs]
         data.append(([features(g) for g in gs], label))
         starts = {g.at for g, y in zip(gs, label) if y}
         if any(c.isupper() for c in t):
             lower = gaps(_lower(t))
             data.append(([features(g) for g in lower], [int(g.at in starts) for g in lower]))
+        if n % BARE_EVERY == 0 and _MARK.search(t.strip()):
+            line, moved = _bare(t if n % (2 * BARE_EVERY) else _lower(t), starts)
+            lg = gaps(line)
+            data.append(([features(g) for g in lg], [int(g.at in moved) for g in lg]))
         if len(_UNSPACED.findall(t)) > len(t) // 2:
             bare, moved = _strip(t, starts)
             bg = gaps(bare)

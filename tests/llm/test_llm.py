@@ -339,14 +339,48 @@ def test_unpunctuated_text_is_cut_by_its_words():
     assert sentences.starts_of(text, model) == [1, 1 + len(clauses[0]), 1 + len(clauses[0]) + len(clauses[1])]
 
 
+UNMARKED = ["good pan it came early we like it", "çok iyi tava erken geldi beğendik", "अच्छा तवा जल्दी आया हमें पसंद है", "กาน้ำดีมากส่งเร็วชอบมาก", "ឆ្នាំងនេះល្អណាស់មកដល់លឿន"]
+
+
+@pytest.mark.parametrize("text", UNMARKED)
+def test_lines_without_marks_have_places(text):
+    assert sentences.gaps(text) and all(0 < g.at < len(text) for g in sentences.gaps(text))
+
+
+def test_lines_without_marks_are_cut_by_their_words():
+    model = sentences.fit(sentences.training_set(t for t, _ in _texts(5, 600)))
+    hit = made = true = 0
+    for t, starts in _texts(6, 200):
+        line, gold = sentences._bare(t, {x - 1 for x in starts[1:]})
+        if sentences._MARK.search(line.strip()) or not gold:
+            continue
+        got = {x - 1 for x in sentences.starts_of(line, model)[1:]}
+        hit, made, true = hit + len(got & gold), made + len(got), true + len(gold)
+    assert true > 50 and hit / true > 0.8 and hit / max(1, made) > 0.8, (hit, made, true)
+
+
+def test_a_quotation_of_any_length_is_one_unit():
+    model = sentences.fit(sentences.training_set(t for t, _ in _texts(5, 300)))
+    long = "“" + "I love it! " * 80 + "It is great,” said my daughter."
+    assert sentences.starts_of(f"{long} The pan is heavy.", model) == [1, len(long) + 2]
+
+
+def test_nearest_tells_large_ids_apart():
+    from mutabik.llm.nearest_time import ROW, nearest
+
+    left, right = np.array([(1, 7, 100)], ROW), np.array([(1, 2**60 + 1, 110), (1, 2**60, 90)], ROW)
+    assert nearest(left, right, 50)["right_id"].tolist() == [2**60]
+
+
 def test_viterbi_equals_enumeration():
     rng = random.Random(0)
     for _ in range(50):
         c = sentences.Chain()
         n = rng.randrange(1, 7)
         c.w = {f"f{i}": rng.uniform(-2, 2) for i in range(n)}
-        c.t = [[rng.uniform(-2, 2) for _ in range(2)] for _ in range(2)]
-        score = lambda t: sum(c.w[f"f{i}"] for i in range(n) if t[i]) + sum(c.t[t[i - 1]][t[i]] for i in range(1, n))  # noqa: B023, E731
+        t = [[rng.uniform(-2, 2) for _ in range(2)] for _ in range(2)]
+        c.t = {False: t, True: t}
+        score = lambda t: sum(c.w[f"f{i}"] for i in range(n) if t[i]) + sum(c.t[False][t[i - 1]][t[i]] for i in range(1, n))  # noqa: B023, E731
         best = max(([m >> i & 1 for i in range(n)] for m in range(2**n)), key=score)
         assert c.decode([[f"f{i}"] for i in range(n)]) == best
 
