@@ -116,6 +116,20 @@ def test_a_batch_reads_no_run_out_of_reach(spark, monkeypatch):
     assert opened[-3:] == [0, 0, 0] and {r.level for r in runs.runs} == {0, 2}
 
 
+def test_a_batch_opens_only_its_files(spark, tmp_path, monkeypatch):
+    from mutabik.llm import queries
+
+    rows = [(*r, None if r[0] < 60 else r[0] // 60) for r in _sales(6, 720)]
+    for k in range(12):
+        df = spark.createDataFrame(rows[60 * k : 60 * k + 60], SALE + ", batch_id long").withColumnsRenamed({"id": "psp_id", "amount": "amount_kurus"})
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "of 1%" / "psp.parquet"))
+    tasks, add = [], hd.HistoryRuns.add
+    monkeypatch.setattr(hd.HistoryRuns, "add", lambda self, df: tasks.append(df.select("id").rdd.getNumPartitions()) or add(self, df))
+    got = queries.p3_found(spark, str(tmp_path / "of 1%")).collect()
+    assert tasks == [1] * 12
+    assert {tuple(r) for r in got} == brute_repeats(rows := [r[:6] for r in rows]) and len(got) == len(brute_repeats(rows))
+
+
 def test_bit_sets_lose_no_row(spark, monkeypatch):
     rows = _sales(4, 200)
     monkeypatch.setattr(hd, "broadcast_fits", lambda rows, columns: False)
