@@ -116,6 +116,24 @@ def test_a_batch_reads_no_run_out_of_reach(spark, monkeypatch):
     assert opened[-3:] == [0, 0, 0] and {r.level for r in runs.runs} == {0, 2}
 
 
+def test_only_near_amounts_of_the_history_are_keyed(spark, monkeypatch):
+    runs, passed, shared = hd.HistoryRuns(spark, shared_path(spark, "t")), [], hd.HistoryRuns._shared
+
+    def counted(self, old, asked, key, most):
+        out = shared(self, old, asked, key, most)
+        passed.append(out.count())
+        return out
+
+    amounts = [0, *(s * a for s in (1, -1) for a in [1, 199, 200, 201, *(1000 * 2**k for k in range(30)), 3 * 2**60])]
+    old = [(i, "s", "ORD-%07d" % (i * 9973), a, T0 + timedelta(minutes=i), "credit") for i, a in enumerate(amounts)]
+    runs.add(spark.createDataFrame(old, SALE))
+    monkeypatch.setattr(hd.HistoryRuns, "_shared", counted)
+    new = [(1000, "s", old[20][2], amounts[20] + amounts[20] // 250, T0, "credit"), (1001, "s", old[0][2], 0, T0, "credit")]
+    runs.add(spark.createDataFrame(new, SALE))
+    assert passed[0] == 2  # of a seller's day, before any key is made
+    assert {(r["id"], r["repeat_id"]) for r in runs.found().collect()} == brute_repeats(old + new) and len(brute_repeats(old + new)) == 2
+
+
 def test_a_batch_opens_only_its_files(spark, tmp_path, monkeypatch):
     from mutabik.llm import queries
 
