@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import defaultdict
 from datetime import datetime, timedelta
 
@@ -148,6 +149,41 @@ def test_a_batch_opens_only_its_files(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in got} == brute_repeats(rows := [r[:6] for r in rows]) and len(got) == len(brute_repeats(rows))
 
 
+def test_batches_leave_nothing_on_the_driver(spark, monkeypatch):
+    """Broadcasts of a batch are given back before the next, long before a merge; few verdicts take no job; plans stay short."""
+    from pyspark.sql import functions as F
+
+    rows, written, write = _sales(9, 240), [], hd.HistoryRuns._write
+    monkeypatch.setattr(hd.HistoryRuns, "_write", lambda self, df, name, **seen: written.append(name) or write(self, df, name, **seen))
+    runs = hd.HistoryRuns(spark, shared_path(spark, "t"))
+    status = spark.sparkContext._jsc.sc().getExecutorMemoryStatus
+    held = lambda: (m := status().head()._2())._1() - m._2()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(3)
+    before = held()
+    for k in range(0, 240, 40):
+        runs.add(spark.createDataFrame(rows[k : k + 40], SALE))
+    until = time.time() + 20
+    while held() > before + 500_000 and time.time() < until:  # the cleaner runs by itself
+        time.sleep(0.2)
+    assert held() <= before + 500_000
+    assert written == ["run", "pairs"] * 6
+    keys = spark.createDataFrame(rows, SALE).select(hd._keys(F.col("ref")).alias("k"))
+    assert len(keys._jdf.queryExecution().executedPlan().toString()) < 1500
+    assert {(r["id"], r["repeat_id"]) for r in runs.found().collect()} == brute_repeats(rows)
+
+
+def test_verdicts_of_both_kinds_meet(spark):
+    rows = _sales(9, 240)
+    runs = hd.HistoryRuns(spark, shared_path(spark, "t"), driver_pairs=60)
+    for k in range(0, 240, 40):
+        runs.add(spark.createDataFrame(rows[k : k + 40], SALE))
+    assert any(r.n_bad and r.verdicts for r in runs.runs) and any(r.n_bad and not r.verdicts for r in runs.runs)
+    apart = {(r["id"], r["repeat_id"]) for r in runs.found().collect()}
+    runs.compact(0)
+    assert apart == {(r["id"], r["repeat_id"]) for r in runs.found().collect()} == brute_repeats(rows)
+
+
 def test_bit_sets_lose_no_row(spark, monkeypatch):
     rows = _sales(4, 200)
     monkeypatch.setattr(hd, "broadcast_fits", lambda rows, columns: False)
